@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media_tiff, packing, token_count
+from . import line_dedup, media_tiff, packing, simhash, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": simhash.op3_simhash,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_token_count": token_count.op7_token_count,
         "op8_packing": packing.op8_packing,
