@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path
+from .common import documents, fresh_path, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -136,9 +136,10 @@ def drop_repeated_lines(
     runs = LevelledRuns(spark, fanout)
     for k in range(batches):
         runs.add(lines.filter(F.col("batch") == k))
-    frequent = runs.frequent(min_docs)
+    # written, so that the join deals both sides itself and can split a hot line's rows
+    frequent = materialise(runs.frequent(min_docs), "frequent-lines")
     lost = (
-        lines.select("doc_id", "h").hint("merge").join(frequent, "h").filter(F.col("doc_id") != F.col("top"))
+        lines.select("doc_id", "h").join(frequent, "h").filter(F.col("doc_id") != F.col("top"))
         .groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("h").alias("_lost"))
     )
     joined = docs.drop("n_lines", "n_dropped").join(lost, F.col("doc_id") == F.col("_lost_id"), "left")
