@@ -93,3 +93,18 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int) -> DataFrame:
     for value, part in sorted(share.items(), key=str):
         keep = keep | (F.col(by).eqNullSafe(F.lit(value)) & (unit < part))
     return rows.filter(keep)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int
+) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text and label of about per_class training documents of each
+    class, and the classes' true sizes. The narrow labels are sampled first;
+    the sample's bound makes it fit for a broadcast, so no text is shuffled.
+    Of repeated labels of a document the largest counts; labels other than 0
+    and 1 are left out."""
+    marks = training_rows(labels, modulus, remainder).filter(F.col(label).isin(0, 1))
+    marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    sizes = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    chosen = bounded_sample(marks, "label", per_class)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sizes
