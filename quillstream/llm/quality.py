@@ -9,8 +9,9 @@ half of (sum v x)^2 - sum v^2 x^2 over the ranks.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,31 @@ SHAPES = (
     (regex.compile(r"\p{Ll}+"), "a"),
     (regex.compile(r"\p{N}+"), "0"),
 )
-UPPER = regex.compile(r"\p{Lu}")
-LETTER = regex.compile(r"\p{L}")
-ODD = regex.compile(r"[^\p{L}\p{N}\s.,;:'\"?()-]")
-DIGIT = regex.compile(r"\p{N}")
+SHAPE_BUCKETS = 1 << 10
 STATS = 22
+FEATURES = STATS + BUCKETS + SHAPE_BUCKETS
+PLAIN = ".,;:'\"?()-"
+LETTER, UPPER, DIGIT, BLANK, ODD, REST = range(6)
+
+
+@functools.cache
+def character_classes() -> np.ndarray:
+    """Class of every code point of the basic plane: letters, upper-case
+    letters, digits, blanks, odd symbols, the rest. The last entry is for all others."""
+    out = np.full(0x10001, REST, np.uint8)
+    for i in range(0x10000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind[0] == "L":
+            out[i] = UPPER if kind == "Lu" else LETTER
+        elif kind[0] == "N":
+            out[i] = DIGIT
+        elif c.isspace():
+            out[i] = BLANK
+        elif c not in PLAIN:
+            out[i] = ODD
+    out[-1] = ODD
+    return out
 
 
 def shape(word: str) -> str:
@@ -48,62 +69,58 @@ def shape(word: str) -> str:
 
 
 class Hasher(dict):
-    """Buckets of a word and of its shape; remembered, since words repeat."""
+    """A word as one number: hash of the word, bucket of its shape, its length,
+    whether it is in capitals; remembered, since words repeat."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         low = word.lower().strip(".,;:!?")
-        found = self[word] = (zlib.crc32(low.encode()) % BUCKETS, BUCKETS + zlib.crc32(shape(word).encode()) % 1024)
+        bucket = zlib.crc32(shape(word).encode()) % SHAPE_BUCKETS
+        found = self[word] = (zlib.crc32(low.encode()) << 19) | (bucket << 9) | (min(len(word), 255) << 1) | word.isupper()
         return found
 
 
-def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
+def statistics(text: str, ids: np.ndarray, counts: np.ndarray) -> list[float]:
     """Structure and size of a text, each roughly between 0 and a few."""
-    n, w = max(1, len(text)), max(1, len(words))
+    n, w = max(1, len(text)), max(1, len(ids))
     lines = text.split("\n")
-    full = [x for x in lines if x.strip()]
-    lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
-    letters = max(1, len(LETTER.findall(text)))
-    top = counts.most_common(1)[0][1] if counts else 0
-    repeats = sum(a == b for a, b in zip(words, words[1:]))
-    ends = sum(x.rstrip()[-1] in ".!?" for x in full)
-    entropy = -sum(c / w * np.log(c / w) for c in counts.values()) if counts else 0.0
-    short = sum(len(x) <= 2 for x in words)
-    odd = len(ODD.findall(text))
+    full = [x for x in lines if x and not x.isspace()]
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    classes = np.bincount(character_classes()[np.minimum(points, 0x10000)], minlength=6)
+    letters = max(1, int(classes[LETTER] + classes[UPPER]))
+    lengths = (ids >> 1 & 255) if len(ids) else np.zeros(1, np.int64)
+    share = counts / w
     return [
-        np.log1p(len(text)) / 5, np.log1p(len(words)) / 4, np.log1p(len(lines)) / 2, np.log1p(n / len(lines)) / 3,
-        float(lengths.mean()) / 5, float(lengths.std()) / 5, float(lengths.max()) / 20, len(counts) / w,
-        len(UPPER.findall(text)) / letters, letters / n, 10 * len(DIGIT.findall(text)) / n, 10 * odd / n,
-        top / w, repeats / w, ends / max(1, len(full)), 1 - len(set(full)) / max(1, len(full)),
-        entropy / 5, short / w, sum(x.isupper() for x in words) / w, 10 * text.count("|") / n,
-        (len(text.encode()) - len(text)) / n * 5, 0.0 if words else 1.0,
+        np.log1p(len(text)) / 5, np.log1p(len(ids)) / 4, np.log1p(len(lines)) / 2, np.log1p(n / len(lines)) / 3,
+        lengths.mean() / 5, lengths.std() / 5, lengths.max() / 20, len(counts) / w,
+        classes[UPPER] / letters, letters / n, 10 * classes[DIGIT] / n, 10 * classes[ODD] / n,
+        share.max(initial=0.0), (ids[1:] == ids[:-1]).sum() / w, sum(x.rstrip()[-1] in ".!?" for x in full) / max(1, len(full)),
+        1 - len(set(full)) / max(1, len(full)), -(share * np.log(share)).sum() / 5, (lengths <= 2).sum() / w,
+        (ids & 1).sum() / w, 10 * text.count("|") / n, (points > 127).sum() / n * 5, 0.0 if len(ids) else 1.0,
     ]
 
 
 def encode(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a text: statistics first, then hashed words of unit length."""
+    """Feature numbers and values of a text: statistics first, then hashed words
+    and shapes, each part of unit length."""
     text = text or ""
     words = text.split()
-    counts = Counter(words)
     if len(hasher) > REMEMBERED:
         hasher.clear()
-    weights = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
-    pairs = np.array([hasher[x] for x in counts], np.int64).reshape(-1, 2)
-    at = np.concatenate([pairs[:, 0], pairs[:, 1]])
-    values = np.concatenate([weights, np.fromiter(counts.values(), np.float64, len(counts))])
-    if len(at):
-        at, back = np.unique(at, return_inverse=True)
-        values = np.bincount(back, values)
-        for part in (at < BUCKETS, at >= BUCKETS):
-            if part.any():
-                values[part] /= np.sqrt((values[part] ** 2).sum())
-    return np.concatenate([np.arange(STATS), at + STATS]), np.concatenate([statistics(text, words, counts), values])
+    ids = np.fromiter(map(hasher.__getitem__, words), np.int64, len(words))
+    distinct, counts = np.unique(ids, return_counts=True)
+    hashed = np.bincount(distinct >> 19 & (BUCKETS - 1), np.log1p(counts), minlength=BUCKETS)
+    shapes = np.bincount(distinct >> 9 & (SHAPE_BUCKETS - 1), counts, minlength=SHAPE_BUCKETS)
+    x = np.concatenate([statistics(text, ids, counts), *(v / max(1e-9, np.sqrt(v @ v)) for v in (hashed, shapes))])
+    x[:STATS] += 1e-12  # statistics are features even where they are zero
+    at = np.flatnonzero(x)
+    return at, x[at]
 
 
 class Machine:
     """Weights of the factorisation machine."""
 
     def __init__(self, seed: int = 7):
-        n = STATS + BUCKETS + 1024
+        n = FEATURES
         rng = np.random.default_rng(seed)
         self.bias = 0.0
         self.w = np.zeros(n)
@@ -157,7 +174,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(at, self.standard(x)), -30, 30))))
 
 
-FEATURES = "label int, at array<int>, x array<double>"
+ENCODED = "label int, at array<int>, x array<double>"
 
 
 def fit(labelled: DataFrame, sizes: dict[int, int]) -> Machine:
@@ -179,7 +196,7 @@ def fit(labelled: DataFrame, sizes: dict[int, int]) -> Machine:
                 ["label", "at", "x"],
             )
 
-    arrow = map_arrow(labelled.select("text", "label"), run, FEATURES).orderBy("label", "at", "x").toArrow()
+    arrow = map_arrow(labelled.select("text", "label"), run, ENCODED).orderBy("label", "at", "x").toArrow()
     labels = arrow.column("label").to_numpy()
     if len(set(labels.tolist())) < 2:
         machine.bias = 4.0 if len(labels) and labels[0] else -4.0 if len(labels) else 0.0
