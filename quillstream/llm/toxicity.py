@@ -38,11 +38,11 @@ TABLE = 17
 TOP = 3
 #: Characters of a window; longer tokens are read in overlapping windows.
 WINDOW = 24
-LANDMARKS = 320
+LANDMARKS = 256
 #: Labelled documents of each class that the model is fitted on.
 SAMPLE = 4000
 #: Words of the sample that reach the driver: the most frequent of either class.
-KEPT = 40_000
+KEPT = 12_000
 THRESHOLD = 0.5
 REMEMBERED = 400_000
 
@@ -196,7 +196,7 @@ def _surprise(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) ->
 
 def _train(f: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Squared-hinge linear machine by Newton steps on the rows inside the margin; the last weight is the bias."""
-    x = np.hstack([f, np.ones((len(f), 1))])
+    x = np.hstack([f, np.ones((len(f), 1), f.dtype)])
     v = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -244,7 +244,7 @@ def fit(labelled: DataFrame, sizes: dict[int, int], landmarks: int = LANDMARKS,
         }
         machine = _fit_words(machine, rows, n_bad, n_good, landmarks)
         for _ in range(3):
-            rows |= _hard_words(counts, machine, kept // 4)
+            rows |= _hard_words(counts, machine, kept // 2)
             machine = _fit_words(machine, rows, n_bad, n_good, landmarks)
     finally:
         counts.unpersist()
@@ -306,14 +306,14 @@ def _fit_words(machine: Machine, rows: dict[str, tuple[int, int]], n_bad: float,
     strong = pos[np.argsort(-bad[pos], kind="stable")][: landmarks // 2]
     close = machine.margins([words[i] for i in neg], letters) if machine.weights.any() else good[neg] * 1.0
     marks = np.r_[strong, neg[np.argsort(-close, kind="stable")][: landmarks - len(strong)]]
-    dense = np.zeros((1 << TABLE, len(marks)), np.float32)
-    for at, codes, w in subsequences([words[i] for i in marks], letters):
-        for a, c, x in zip(at, codes, w):
-            np.add.at(dense[:, a], c, x)
-    used = np.flatnonzero(dense.any(axis=1))  # all other subsequences have kernel zero with every landmark
+    found = list(subsequences([words[i] for i in marks], letters))
+    used = np.unique(np.concatenate([codes.ravel() for _, codes, _ in found]))  # all others have kernel zero with every landmark
     place = np.full(1 << TABLE, len(used), np.int64)
     place[used] = np.arange(len(used))
-    dense = np.vstack([dense[used], np.zeros((1, len(marks)), np.float32)])
+    dense = np.zeros((len(used) + 1, len(marks)), np.float32)
+    for at, codes, w in found:
+        for a, c, x in zip(at, place[codes], w):
+            np.add.at(dense[:, a], c, x)
 
     def kernel_with(rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(marks)), np.float32)
@@ -326,7 +326,7 @@ def _fit_words(machine: Machine, rows: dict[str, tuple[int, int]], n_bad: float,
     kernel, among = kernel_with(np.r_[pos, neg]), kernel_with(marks)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good_ = values > 1e-4
-    whiten = vectors[:, good_] / np.sqrt(values[good_])
+    whiten = (vectors[:, good_] / np.sqrt(values[good_])).astype(np.float32)
     y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
     if machine.weights.any():
         weight[neg] *= np.where(close > -0.5, HARD, 1.0)
