@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch sent to Python; the byte limit below binds first on long texts.
 BATCH_ROWS = 1000
@@ -62,7 +63,7 @@ def _tidy() -> None:
             return
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in rows and bytes, so that a run of very
     long texts cannot fill a worker's memory."""
     spark = df.sparkSession

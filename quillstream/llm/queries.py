@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, media_tiff, packing, quality, simhash, token_count, toxicity
+from . import decontaminate, html_extract, langid, line_dedup, media_tiff, packing, quality, simhash, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_html_extract": html_extract.op2_html_extract,
         "op3_simhash": simhash.op3_simhash,
         "op4_langid": langid.op4_langid,
         "op5_line_dedup": line_dedup.op5_line_dedup,

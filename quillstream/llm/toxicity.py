@@ -359,6 +359,22 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = THRESHO
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their
+    columns, in one pass and without a shuffle. Nulls and empty texts are
+    scored as in score_toxicity."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            scores = shared.value.probability(scorer.tops(batch.column(at).to_pylist()))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def toxicity_machine(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """The machine of the fixed training fold."""
     return fit(*labelled_sample(docs, labels, "toxic", 5, 0, sample))
