@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, materialise, table
 
 #: Pages of a host that its wrapper is inferred from.
 SAMPLE = 6
@@ -319,18 +319,20 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host and wrapper (JSON) from at most `sample` pages of each host: the
-    smallest page_id of each of as many classes of page_ids, found by a
-    partial aggregation, so that a host of any size costs a few rows."""
+    """host, expression, region, constants and pages from at most `sample` pages
+    of each host: the smallest page_id of each of as many classes of page_ids,
+    found by a partial aggregation, so that a host of any size costs a few rows."""
     hosted = _hosted(pages).filter("page_id IS NOT NULL AND html IS NOT NULL")
     chosen = hosted.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(sample)).alias("salt")).agg(F.min("page_id").alias("page_id"))
-    rows = hosted.join(chosen.select("page_id").distinct(), "page_id", "left_semi").select("host", "page_id", "html")
+    # written, so that Spark knows its size when it decides whether the pages must be shuffled
+    chosen = materialise(chosen.select("page_id").distinct(), "sampled-pages")
+    rows = hosted.join(chosen, "page_id", "left_semi").select("host", "page_id", "html")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         texts = group.sort_values(["page_id", "html"])["html"].tolist()[:sample]
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(infer(texts), ensure_ascii=False)]})
+        return pd.DataFrame([{"host": key[0], **infer(texts)}])
 
-    return rows.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return rows.groupBy("host").applyInPandas(run, "host string, expression string, region string, constants array<string>, pages int")
 
 
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -340,7 +342,8 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty host; rows without a page_id are extracted but not sampled; repeated
     rows stay. Other columns are not read. An empty table gives an empty result.
     """
-    wrappers = infer_wrappers(pages, sample).withColumnRenamed("host", "_host")
+    wrapper = F.to_json(F.struct("region", "constants")).alias("wrapper")
+    wrappers = materialise(infer_wrappers(pages, sample).select(F.col("host").alias("_host"), wrapper), "wrappers")
     hosted = _hosted(pages)
     joined = hosted.join(wrappers, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
 
