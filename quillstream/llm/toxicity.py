@@ -263,7 +263,8 @@ def _document_tops(labelled: DataFrame, machine: Machine) -> list:
             tops = scorer.tops(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(tops), pa.list_(pa.float64()))], ["label", "tops"])
 
-    return map_arrow(labelled.select("label", "text"), run, "label int, tops array<double>").orderBy("label", "tops").collect()
+    rows = map_arrow(labelled.select("label", "text"), run, "label int, tops array<double>").collect()
+    return sorted(rows, key=lambda r: (r[0], r[1]))
 
 
 def _hard_words(counts: DataFrame, machine: Machine, most: int) -> dict[str, tuple[int, int]]:
