@@ -142,11 +142,12 @@ def detect(df: DataFrame, profile: str = "core") -> DataFrame:
         looks_like_csv(text, 3, 5) if hook else looks_like_csv(text),
     )
     gate = F.concat(*(F.coalesce(g, F.lit(False)).cast("int").cast("string") for g in gates))
-    code = code_type(text, 5, GO_LOOSE) if hook else code_type(text)
-    gated = df.withColumn("_gate", gate).withColumn("_score", debug_score(text)).withColumn("_code", code)
-    out = read_structured(gated, "content", "_gate", profile)
+    out = read_structured(df.withColumn("_gate", gate), "content", "_gate", profile)
+    # the costly scores are made only where no reader took the text
+    rest = lambda c: F.when(F.col("parsed_format").isNull(), c)
+    out = out.withColumn("_score", rest(debug_score(text))).withColumn("_code", rest(code_type(text, 5, GO_LOOSE) if hook else code_type(text)))
     debug = F.when(F.col("_score") >= 3, "debug-output")
-    rest = (debug, F.col("_code")) if hook else (F.col("_code"), debug)
-    out = out.withColumn("format", F.coalesce(F.col("parsed_format"), *rest, F.lit("unknown")))
+    order = (debug, F.col("_code")) if hook else (F.col("_code"), debug)
+    out = out.withColumn("format", F.coalesce(F.col("parsed_format"), *order, F.lit("unknown")))
     out = out.withColumn("confidence", confidence(F.col("format"), F.col("_score")))
     return out.drop("_gate", "_score", "_code", "parsed_format")
