@@ -142,15 +142,21 @@ def drop_repeated_lines(
         lines.select("doc_id", "h").join(frequent, "h").filter(F.col("doc_id") != F.col("top"))
         .groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("h").alias("_lost"))
     )
-    joined = docs.drop("n_lines", "n_dropped").join(lost, F.col("doc_id") == F.col("_lost_id"), "left")
-    every = lines_of(F.col("text"))
+    # the row travels as one struct, so that no name of its columns can clash
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*names).alias("row"))
+    joined = rows.join(lost, F.col("row.doc_id") == F.col("_lost_id"), "left")
+    every = lines_of(F.col("row.text"))
     kept = F.when(
         F.col("_lost").isNotNull(),
         F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col("_lost"), line_hash(x, min_chars)), F.lit(False))),
     ).otherwise(every)
-    out = joined.withColumn("n_lines", F.size(every).cast("long")).withColumn("_kept", kept)
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("text", F.array_join("_kept", "\n"))
-    return out.drop("_kept", "_lost", "_lost_id")
+    done = joined.select("row", F.size(every).cast("long").alias("n_lines"), kept.alias("kept"))
+    text = F.array_join("kept", "\n")
+    return done.select(
+        *((text if c == "text" else F.col("row").getField(c)).alias(c) for c in names),
+        "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
