@@ -1,8 +1,7 @@
 """The whole rewrite: admit, detect, route, compress, evaluate, wrap.
 
-Payloads are split by format and put together again, so that each Python
-function sees only its own rows. Equal payloads can be computed once and
-joined back (`memoise`).
+All in one pass over the payloads; each compressor works only on rows of its
+formats. Equal payloads can be computed once and joined back (`memoise`).
 """
 
 from __future__ import annotations
@@ -35,31 +34,25 @@ register(("debug-output",), "debug-output", lambda text, fmt, profile: compress_
 
 
 def compress(detected: DataFrame, profile: str = "core") -> DataFrame:
-    """Adds compressed, layers and compressor to rows with content, format and toon."""
+    """Adds compressed, layers and compressor to rows with content, format and toon.
+
+    One pass: each compressor is evaluated only on rows of its formats, and a
+    Python function gets nulls for all others."""
     text, fmt = F.col("content"), F.col("format")
     kinds: dict[tuple[str, Compressor], list[str]] = {}
     for name, route in _ROUTES.items():
         kinds.setdefault(route, []).append(name)
-    plain = [f for f in STRUCTURED if f not in _ROUTES]
-    out = [
-        detected.filter(fmt.isin(*plain))
-        .withColumn("compressed", F.col("toon")).withColumn("layers", F.array(F.lit("toon-encode"))).withColumn("compressor", F.lit("toon"))
-    ]
-    for (name, compressor), formats in kinds.items():
-        rows = detected.filter(fmt.isin(*formats)).withColumn("_out", compressor(text, fmt, profile))
-        out.append(
-            rows.withColumn("compressed", F.col("_out.text")).withColumn("layers", F.col("_out.layers"))
-            .withColumn("compressor", F.lit(name)).drop("_out")
-        )
-    rest = detected.filter(~fmt.isin(*plain, *_ROUTES))
-    out.append(
-        rest.withColumn("compressed", F.lit(None).cast("string")).withColumn("layers", F.array().cast("array<string>"))
-        .withColumn("compressor", F.lit(None).cast("string"))
-    )
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    mine = fmt.isin(*(f for f in STRUCTURED if f not in _ROUTES))
+    new = F.when(mine, F.struct(F.col("toon").alias("text"), F.array(F.lit("toon-encode")).alias("layers"), F.lit("toon").alias("name")))
+    out = detected
+    for k, ((name, compressor), formats) in enumerate(kinds.items()):
+        its = fmt.isin(*formats)
+        out = out.withColumn(f"_out{k}", F.when(its, compressor(F.when(its, text), fmt, profile)))
+        made = F.col(f"_out{k}")
+        new = new.when(its, F.struct(made["text"].alias("text"), made["layers"].alias("layers"), F.lit(name).alias("name")))
+    out = out.withColumn("_new", new)
+    out = out.withColumn("compressed", F.col("_new.text")).withColumn("layers", F.col("_new.layers")).withColumn("compressor", F.col("_new.name"))
+    return out.drop("_new", *(f"_out{k}" for k in range(len(kinds))))
 
 
 RESULT = (
@@ -76,14 +69,9 @@ def optimize(payloads: DataFrame, cfg: Config | None = None) -> DataFrame:
     cfg = cfg or Config()
     hook = cfg.profile == "hook"
     keep = [c for c in payloads.columns if c not in RESULT]
-    judged = payloads.select(*keep).withColumn("_why", admission(cfg))
-    out_ = judged.filter("_why IS NOT NULL").withColumns(
-        {
-            "format": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "toon": F.lit(None).cast("string"),
-            "compressed": F.lit(None).cast("string"), "layers": F.array().cast("array<string>"), "compressor": F.lit(None).cast("string"),
-        }
-    )
-    worked = compress(detect(judged.filter("_why IS NULL"), cfg.profile), cfg.profile).unionByName(out_)
+    judged = payloads.select(*keep).withColumn("_why", admission(cfg)).withColumn("_text", F.col("content"))
+    judged = judged.withColumn("content", F.when(F.col("_why").isNull(), F.col("content")))  # what isn't admitted isn't looked at
+    worked = compress(detect(judged, cfg.profile), cfg.profile).withColumn("content", F.col("_text")).drop("_text")
     count = (lambda c: F.length(c).cast("long")) if hook else (lambda c: tokens(c, cfg.tokenizer))
     invalid = F.col("_why").startswith("Invalid input") | F.col("_why").startswith("Content too large")
     worked = worked.withColumn("original_tokens", F.when(F.coalesce(invalid, F.lit(False)), F.lit(0)).otherwise(count(F.col("content"))).cast("long"))

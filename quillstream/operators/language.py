@@ -55,17 +55,25 @@ def multiplier(code: Column) -> Column:
 
 
 def _one(sample: Column, profile: tuple, seq: int) -> Column:
+    """Confidence of one profile. Every count is made once."""
     code, _, _, m, base, patterns = profile
-    counts = [F.regexp_count(sample, F.lit(js(p))) for p in patterns]
-    total = functools.reduce(lambda a, b: a + b, counts)
-    matched = functools.reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in counts])
-    share = matched / float(len(patterns))
-    density = F.least(total / (F.greatest(F.length(sample), F.lit(1)) / 5.0), F.lit(1.0))
-    weight = F.when(density > 0.9, 0.4).otherwise(0.7)
-    boost = F.when(share >= 1, F.lit(1.1)).otherwise(1.0)
-    boost = F.when(density > 0.95, F.greatest(boost, F.lit(1.05))).otherwise(boost)
-    conf = F.least((share * weight + density * (1 - weight)) * boost, F.lit(1.0)) * base
-    return F.struct(conf.alias("conf"), F.lit(seq).alias("seq"), F.lit(code).alias("code"), F.lit(m).alias("multiplier"), matched.alias("patterns"))
+    counts = F.array(*(F.regexp_count(sample, F.lit(js(p))) for p in patterns))
+
+    def rate(c: Column) -> Column:
+        total = functools.reduce(lambda a, b: a + b, (c[i] for i in range(len(patterns))))
+        matched = functools.reduce(lambda a, b: a + b, ((c[i] > 0).cast("int") for i in range(len(patterns))))
+        density = F.least(total / (F.greatest(F.length(sample), F.lit(1)) / 5.0), F.lit(1.0))
+        return F.struct(matched.alias("matched"), (matched / float(len(patterns))).alias("share"), density.alias("density"))
+
+    def judge(r: Column) -> Column:
+        share, density = r["share"], r["density"]
+        weight = F.when(density > 0.9, 0.4).otherwise(0.7)
+        boost = F.when(share >= 1, F.lit(1.1)).otherwise(1.0)
+        boost = F.when(density > 0.95, F.greatest(boost, F.lit(1.05))).otherwise(boost)
+        conf = F.least((share * weight + density * (1 - weight)) * boost, F.lit(1.0)) * base
+        return F.struct(conf.alias("conf"), F.lit(seq).alias("seq"), F.lit(code).alias("code"), F.lit(m).alias("multiplier"), r["matched"].alias("patterns"))
+
+    return let(let(counts, rate), judge)
 
 
 def detect_language(text: Column) -> Column:
