@@ -52,6 +52,8 @@ START, OTHER, END = 0, 62, 63
 LOW, HIGH = 0.0, 1.0
 #: How much more a negative word counts that the machine of the round before found near or above its boundary.
 HARD = 30.0
+#: Witnesses, the most frequent ones, that get variants.
+VARIED = 40
 
 
 class Letters(dict):
@@ -200,27 +202,45 @@ def _train(f: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.
     v = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
+
+    def loss(v: np.ndarray) -> float:
+        return float(v @ ridge @ v / 2 + (c * np.maximum(1 - y * (x @ v), 0) ** 2).sum())
+
+    now = loss(v)
     for _ in range(rounds):
-        inside = y * (x @ v) < 1
-        xa, ya, ca = x[inside], y[inside], c[inside]
-        new = np.linalg.solve(ridge + 2 * (xa * ca[:, None]).T @ xa, 2 * (xa * ca[:, None]).T @ ya)
-        if np.abs(new - v).max() < 1e-6:
+        gap = 1 - y * (x @ v)
+        inside = gap > 0
+        xa = x[inside]
+        grad = ridge @ v - 2 * xa.T @ (c * y * gap)[inside]
+        step = np.linalg.solve(ridge + 2 * (xa * c[inside][:, None]).T @ xa, grad)
+        size = 1.0  # halved until the loss falls: full steps can cycle on separable words
+        while (new := loss(v - size * step)) > now - 1e-4 * size * (grad @ step) and size > 1e-4:
+            size /= 2
+        if now - new < 1e-6 * now:
             break
-        v = new
+        v, now = v - size * step, new
     return v
 
 
 def _logistic(tops: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic coefficients of the documents' highest margins, the offset last."""
     x = np.hstack([tops, np.ones((len(tops), 1))])
+    ridge = 0.5
+
+    def loss(a: np.ndarray) -> float:
+        z = x @ a
+        return float((weight * (np.logaddexp(0, z) - label * z)).sum() + ridge / 2 * a @ a)
+
     a = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        grad = x.T @ (weight * (p - label)) + 1e-1 * a
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(len(a))
-        step = np.linalg.solve(curve, grad)
-        a = a - np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-6:
+        grad = x.T @ (weight * (p - label)) + ridge * a
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(a)), grad)
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step) > loss(a) - 1e-4 * size * (grad @ step):
+            size /= 2
+        a = a - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return a
 
@@ -294,16 +314,18 @@ def _fit_words(machine: Machine, rows: dict[str, tuple[int, int]], n_bad: float,
         # words like a witness that no clean document has are witnesses too
         witness |= (machine.margins(words, letters) > 0.3) & (bad > 0) & (ratio > 2) & (good == 0)
     own = [k for k in np.flatnonzero(witness) if len(words[k]) > 3]
+    own = sorted(own, key=lambda k: (-bad[k], words[k]))[:VARIED]
     for k in own:
         spelt = variants(words[k])
         words += spelt
-        bad, good = np.r_[bad, np.full(len(spelt), bad[k] / 4)], np.r_[good, np.zeros(len(spelt))]
+        bad, good = np.r_[bad, np.full(len(spelt), bad[k] / 10)], np.r_[good, np.zeros(len(spelt))]
     witness = np.r_[witness, np.ones(len(words) - len(witness), bool)]
     negative = ~witness & (good > 0)
     pos, neg = np.flatnonzero(witness), np.flatnonzero(negative)
     if not len(neg):
         return machine
-    weight = np.minimum(np.where(witness, bad, good), 20.0) + 1.0
+    # a witness weighs as many documents as it is found in; no number of rare ones outweighs a common one
+    weight = np.where(witness, bad, np.minimum(good, 20.0)) + 1.0
     strong = pos[np.argsort(-bad[pos], kind="stable")][: landmarks // 2]
     close = machine.margins([words[i] for i in neg], letters) if machine.weights.any() else good[neg] * 1.0
     marks = np.r_[strong, neg[np.argsort(-close, kind="stable")][: landmarks - len(strong)]]
@@ -331,7 +353,7 @@ def _fit_words(machine: Machine, rows: dict[str, tuple[int, int]], n_bad: float,
     y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
     if machine.weights.any():
         weight[neg] *= np.where(close > -0.5, HARD, 1.0)
-    c = np.r_[weight[pos] / weight[pos].sum() * 2000, weight[neg] / weight[neg].sum() * 20000]
+    c = np.r_[weight[pos] / weight[pos].sum() * 4000, weight[neg] / weight[neg].sum() * 40000]
     v = _train(kernel @ whiten, y, c)
     out = Machine()
     out.weights[used] = dense[:-1] @ (whiten @ v[:-1])
