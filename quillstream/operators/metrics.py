@@ -93,10 +93,11 @@ def status(stats: DataFrame) -> DataFrame:
 def savings_summary(rows: DataFrame, category: str = "category", value: str = "savings_pct", seq: str = "seq") -> DataFrame:
     """Count, mean, min, max, true and upper median by category and over all
     (a null category), in the order in which categories first appear."""
-    ordered = F.sort_array(F.collect_list(value))
+    # from the top, the discrete median is the upper one; both medians keep a count for each distinct value, not the rows
+    upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
     return rows.rollup(category).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lowest"), F.max(value).alias("highest"),
-        F.percentile(value, 0.5).alias("median"), F.get(ordered, F.floor(F.count(value) / 2).cast("int")).alias("upper_median"), F.min(seq).alias("first_seen"),
+        F.percentile(value, 0.5).alias("median"), upper.alias("upper_median"), F.min(seq).alias("first_seen"),
     )
 
 

@@ -62,20 +62,28 @@ def replay(log: DataFrame, ttl_ms: int, order: str = "ts_ms") -> DataFrame:
     """Hit or miss of each request of a log (key, ts_ms, event_id) under a time
     to live that counts from creation, without a limit on entries.
 
-    Misses create an entry; requests up to its expiry hit it. Within a key the
-    creations follow one another, found by a fold over its sorted times."""
-    step = F.struct(F.col(order).alias("t"), F.col("event_id").alias("e"))
-    by = log.groupBy("key").agg(F.sort_array(F.collect_list(step)).alias("s"))
-    start = F.struct(F.lit(None).cast("long").alias("made"), F.array().cast("array<struct<e:bigint,hit:boolean>>").alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["t"] <= acc["made"] + ttl_ms, F.lit(False))
-        return F.struct(
-            F.when(hit, acc["made"]).otherwise(x["t"]).alias("made"),
-            F.array_append(acc["out"], F.struct(x["e"].alias("e"), hit.alias("hit"))).alias("out"),
-        )
-
-    return by.select("key", F.explode(F.aggregate("s", start, fold)["out"]).alias("r")).select("key", F.col("r.e").alias("event_id"), F.col("r.hit").alias("hit"))
+    Misses create an entry; requests up to its expiry hit it. The requests of
+    a key stream through one task in order of (time, event_id); the task holds
+    one creation time, whatever the key's length."""
+    import pyarrow as pa
+
+    rows = log.select("key", F.col(order).cast("long").alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "t", "event_id")
+
+    def run(batches):
+        now, made = object(), None
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != now:
+                    now, made = k, None
+                hit = made is not None and t is not None and t <= made + ttl_ms
+                hits.append(hit)
+                if not hit:
+                    made = t
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.bool_())], ["key", "event_id", "hit"])
+
+    return rows.mapInArrow(run, f"key {log.schema['key'].dataType.simpleString()}, event_id long, hit boolean")
 
 
 def lru_hits(log: DataFrame, max_size: int, scope: str = "tool_name") -> DataFrame:

@@ -210,8 +210,8 @@ def lru_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ttl_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
-    now = entries.agg(F.max("created").alias("now"))
-    return result_cache.expired(entries.crossJoin(now), F.col("now")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    now = entries.agg(F.max("created")).scalar()
+    return result_cache.expired(entries, now).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
