@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import documents, materialise, table
 from quillstream.llm.decontaminate import find_leaks
 from quillstream.llm.line_dedup import drop_repeated_lines
+from quillstream.llm.near_copies import near_copies
 from quillstream.llm.packing import pack
-from quillstream.llm.simhash import near_duplicates
 from quillstream.llm.toxicity import drop_toxic, toxicity_machine
 
 
@@ -29,10 +29,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows without one stay."""
-    found = near_duplicates(docs)
-    lost = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(materialise(lost, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest doc_id; rows without
+    one stay. Rows that repeat a doc_id are documents of their own."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    named = rows.filter("doc_id IS NOT NULL").select(F.col("_row").alias("row"), "doc_id", "text")
+    found = materialise(near_copies(named), "near-copies")
+    first = found.join(named.select("row", "doc_id"), "row").groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row")).alias("first")
+    )
+    first = materialise(first.filter("n > 1").select("root", F.col("first.row").alias("kept")), "kept-copies")
+    lost = found.join(first, "root").filter("row <> kept").select(F.col("row").alias("_row"))
+    return rows.join(materialise(lost, "near-duplicates"), "_row", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
