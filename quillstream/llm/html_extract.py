@@ -7,7 +7,8 @@ differ become slots, equal texts stay constant. The wrapper thus is a regular
 expression without unions. Its content region is the article (or main) element
 or, where there is none, the deepest container that keeps most of the text in
 the slots. Every page is cut to that region, and what is navigation, advert,
-notice, form, comment or script inside it is left out.
+notice, form, comment or script inside it is left out, as are groups with a
+class or id that all sampled pages have in the region with the same text.
 """
 
 from __future__ import annotations
@@ -134,9 +135,10 @@ def clean(text: str) -> str:
     return SPACES.sub(" ", html.unescape(text)).strip()
 
 
-def blocks(node: Node, constants: frozenset[str] = frozenset()) -> list[str]:
-    """Texts of the blocks below a node in page order, without page furniture.
-    A single line break is a space, two in a row end the block."""
+def blocks(node: Node, constants: frozenset[str] = frozenset(), furniture: frozenset[str] = frozenset()) -> list[str]:
+    """Texts of the blocks below a node in page order, without page furniture
+    (by its own marks, or named by the wrapper as a group below the node). A
+    single line break is a space, two in a row end the block."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -146,7 +148,7 @@ def blocks(node: Node, constants: frozenset[str] = frozenset()) -> list[str]:
                 out.append(t)
             parts.clear()
 
-    def walk(n: Node, headings_only: bool) -> None:
+    def walk(n: Node, headings_only: bool, path: list[str]) -> None:
         breaks = 0
         for child in n.children:
             if isinstance(child, str):
@@ -159,18 +161,20 @@ def blocks(node: Node, constants: frozenset[str] = frozenset()) -> list[str]:
             elif child.chrome:
                 if child.tag == "header" and n.tag in ("article", "main"):
                     flush()
-                    walk(child, True)
+                    walk(child, True, [*path, child.signature])
                     flush()
+            elif furniture and "." in child.signature and _group([*path, child.signature], constant_texts(wrapper_of(child))) in furniture:
+                flush() if child.tag in BLOCKS else parts.append(" ")
             elif child.tag in BLOCKS:
                 flush()
-                walk(child, headings_only and child.tag not in HEADINGS)
+                walk(child, headings_only and child.tag not in HEADINGS, [*path, child.signature])
                 flush()
                 breaks = 0
             else:
-                walk(child, headings_only)
+                walk(child, headings_only, [*path, child.signature])
                 breaks = 0
 
-    walk(node, False)
+    walk(node, False, [])
     flush()
     return out
 
@@ -247,6 +251,39 @@ def constants_of(w: list) -> set[str]:
     return set().union(*(constants_of(c) for c in w[2]))
 
 
+def constant_texts(w: list) -> list[str] | None:
+    """The texts of a group in order; None if it has a slot, an optional part or no text."""
+    out: list[str] = []
+    for child in w[2]:
+        if child[1] in ("?", "*"):
+            return None
+        if (found := ([child[2]] if child[2] is not None else None) if child[0] == "#" else constant_texts(child) if child[2] else []) is None:
+            return None
+        out += found
+    return out or None
+
+
+def _group(path: list[str], texts: list[str] | None) -> str:
+    return json.dumps([path, texts])
+
+
+def furniture_of(w: list, region: str, path: list[str] | None = None) -> set[str]:
+    """Outermost groups with a class or id inside the region that all pages have with the same text."""
+    out: set[str] = set()
+    for child in w[2]:
+        if child[0] == "#" or child[1] in ("?", "*"):
+            continue
+        if path is None:
+            out |= furniture_of(child, region, [] if child[0] == region else None)
+            continue
+        below = [*path, child[0]]
+        if "." in child[0] and (texts := constant_texts(child)):
+            out.add(_group(below, texts))
+        else:
+            out |= furniture_of(child, region, below)
+    return out
+
+
 def region_of(trees: list[Node], constants: frozenset[str]) -> str:
     """Signature of the content region: article, else main, else the deepest
     container that keeps most of the text that isn't constant."""
@@ -284,10 +321,18 @@ def infer(pages: list[str]) -> dict:
     for t in trees[1:]:
         wrapper = align(wrapper, wrapper_of(t))
     constants = constants_of(wrapper) if len(pages) > 2 else set()
+    region = region_of(trees, frozenset(constants))
+    furniture = frozenset(furniture_of(wrapper, region) if len(set(pages)) > 2 else ())
+    if furniture:  # of pages that share most of their main text, that text is no furniture
+        inside = [n for t in trees for n in _elements(t) if n.signature == region and not n.chrome]
+        mass = lambda n, groups: sum(map(len, blocks(n, frozenset(), groups)))
+        if any(2 * mass(n, furniture) < mass(n, frozenset()) for n in inside):
+            furniture = frozenset()
     return {
         "expression": expression(wrapper),
-        "region": region_of(trees, frozenset(constants)),
+        "region": region,
         "constants": sorted(constants),
+        "furniture": sorted(furniture),
         "pages": len(pages),
     }
 
@@ -306,7 +351,8 @@ def extract(page: str | None, wrapper: dict | None) -> str:
         found = [n for n in elements if n.signature == region and not n.chrome]
     marked = bool(found) and found[0].tag in ("article", "main")
     constants = frozenset() if marked or not wrapper else frozenset(wrapper["constants"])
-    texts = ["\n".join(blocks(n, constants)) for n in found or [tree]]
+    furniture = frozenset(wrapper.get("furniture", ())) if wrapper else frozenset()
+    texts = ["\n".join(blocks(n, constants, furniture)) for n in found or [tree]]
     return max(texts, key=len)
 
 
@@ -319,7 +365,7 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, expression, region, constants and pages from at most `sample` pages
+    """host, expression, region, constants, furniture and pages from at most `sample` pages
     of each host: the smallest page_id of each of as many classes of page_ids,
     found by a partial aggregation, so that a host of any size costs a few rows."""
     hosted = _hosted(pages).filter("page_id IS NOT NULL AND html IS NOT NULL")
@@ -332,7 +378,7 @@ def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
         texts = group.sort_values(["page_id", "html"])["html"].tolist()[:sample]
         return pd.DataFrame([{"host": key[0], **infer(texts)}])
 
-    return rows.groupBy("host").applyInPandas(run, "host string, expression string, region string, constants array<string>, pages int")
+    return rows.groupBy("host").applyInPandas(run, "host string, expression string, region string, constants array<string>, furniture array<string>, pages int")
 
 
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -342,7 +388,7 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty host; rows without a page_id are extracted but not sampled; repeated
     rows stay. Other columns are not read. An empty table gives an empty result.
     """
-    wrapper = F.to_json(F.struct("region", "constants")).alias("wrapper")
+    wrapper = F.to_json(F.struct("region", "constants", "furniture")).alias("wrapper")
     wrappers = materialise(infer_wrappers(pages, sample).select(F.col("host").alias("_host"), wrapper), "wrappers")
     hosted = _hosted(pages)
     joined = hosted.join(wrappers, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
