@@ -9,7 +9,9 @@ A hit counts for a document and an item where enough windows lie on one
 diagonal, that is in the item's order and spacing, and the placeholders'
 fillings are consistent there: the same filling of the item always meets the
 same filling of the document and the other way round. A question with other
-numbers or names is thus caught as well as a plain copy.
+numbers or names is thus caught as well as a plain copy. Windows that hold
+placeholders are also hashed by their plain words, so that a verbatim copy is
+found whatever its words are.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ UNITS = frozenset(
 )
 NUM, UNIT, NAMED = 1, 2, 3
 B = np.uint64(0x9E3779B97F4A7C15)
+LEFT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mark(value: int) -> int:
@@ -92,8 +95,8 @@ def _split(text: str) -> list[str]:
     return ATTACHED.sub(r"\1 \2", text).split() if any(map(str.isdigit, text)) else text.split()
 
 
-def template(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hash and placeholder kind of each word of the canonical text, and the words."""
+def template(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Hash and placeholder kind of each word of the canonical text, the words, and their hashes without placeholders."""
     if words.filled > REMEMBERED:
         words.clear_all()
     tokens = _split(text)
@@ -105,10 +108,17 @@ def template(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, list[str]
     after_number[1:] = kinds[:-1] == NUM
     kinds[(kinds == NAMED) & start] = 0
     kinds[(kinds == UNIT) & ~after_number] = 0
-    hashes = words.hashes[at]
+    plain = words.hashes[at]
+    hashes = plain.copy()
     for k in (NUM, UNIT, NAMED):
         hashes[kinds == k] = PLACE[k]
-    return hashes, kinds, tokens
+    return hashes, kinds, tokens, plain
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    out = (left * LEFT + right) * B
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,41 +126,67 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, size: int, literals: int) ->
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(size))
-    for k in range(size):
-        out = (out ^ hashes[k : k + n]) * B
-        out ^= out >> np.uint64(29)
+    out, done, block, width = None, 0, hashes, 1
+    while True:  # blocks of 1, 2, 4, ... words make up a window
+        if size & width:
+            out = block[:n] if out is None else _joined(out, block[done : done + n])
+            done += width
+        if done == size:
+            break
+        block, width = _joined(block[:-width], block[width:]), 2 * width
+    out = _joined(np.full(n, np.uint64(size)), out)
     plain = np.cumsum(np.r_[0, kinds == 0])
     good = np.flatnonzero(plain[size:] - plain[:-size] >= literals)
     return good, out[good]
 
 
+def plain_windows(plain: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each window with a placeholder, by its plain words; the others are in windows() already."""
+    if not kinds.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, found = windows(plain, np.zeros_like(kinds), size, 0)
+    slots = np.cumsum(np.r_[0, kinds != 0])
+    keep = slots[at + size] > slots[at]
+    return at[keep], found[keep]
+
+
 def _slots(tokens: list[str], kinds: np.ndarray, start: int, size: int) -> list[str]:
     return [tokens[start + k].strip(EDGE).lower() for k in range(size) if kinds[start + k]]
 
 
-BENCH = "item_id long, pos int, size int, total int, hash long, slots array<string>"
+BENCH = "item_id long, pos int, size int, total int, whole int, plain boolean, hash long, slots array<string>"
 DOCS = "doc_id long, row long, pos int, hash long, slots array<string>"
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """Windows of each item; an item shorter than a window is one window of its own length."""
+    """Windows of each item; an item shorter than a window is one window of its own length. total counts
+    those with enough literals, whole all. A first word that a document could take for a name is hashed both ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, kinds, tokens = template(text or "", words)
+                hashes, kinds, tokens, plain = template(text or "", words)
                 size = min(window, len(tokens))
-                at, found = windows(hashes, kinds, size, min(literals, size)) if size else ((), ())
-                rows += [
-                    (item, int(p), size, len(at), int(h), _slots(tokens, kinds, p, size)) for p, h in zip(at, np.asarray(found, np.uint64).view(np.int64))
-                ]
+                if not size:
+                    continue
+                at, found = windows(hashes, kinds, size, min(literals, size))
+                total, whole = len(at), len(tokens) - size + 1
+                add = lambda p, h, plain, slots: rows.append((item, int(p), size, total, whole, plain, int(np.uint64(h).view(np.int64)), slots))  # noqa: B023, E731
+                for p, h in zip(at, found):
+                    add(p, h, False, _slots(tokens, kinds, p, size))
+                if total and at[0] == 0 and not kinds[0] and words.kinds[words[tokens[0]]] == NAMED:
+                    named = kinds[:size].copy()
+                    named[0] = NAMED
+                    first = windows(np.r_[PLACE[NAMED], hashes[1:size]], named, size, 0)[1]
+                    add(0, first[0], False, _slots(tokens, named, 0, size))
+                for p, h in zip(*plain_windows(plain, kinds, size)):
+                    add(p, h, True, [])
             if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["item_id", "pos", "size", "total", "hash", "slots"]
+                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["item_id", "pos", "size", "total", "whole", "plain", "hash", "slots"]
                 )
 
     return map_arrow(items.select("item_id", "text"), run, BENCH)
@@ -192,35 +228,42 @@ def find_leaks(
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                hashes, kinds, tokens = template(text, words)
+                hashes, kinds, tokens, plain = template(text, words)
+                row = None
                 for size in sizes:
-                    at, found = windows(hashes, kinds, size, min(literals, size))
-                    slot = found & mask
-                    keep = np.flatnonzero(known[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
-                    if len(keep):
-                        row = zlib.crc32(text.encode())
-                        rows += [
-                            (doc, row, p, h, _slots(tokens, kinds, p, size)) for p, h in zip(at[keep].tolist(), found[keep].view(np.int64).tolist())
-                        ]
+                    # one literal less: the benchmark has first words as names, too
+                    for typed, (at, found) in (
+                        (True, windows(hashes, kinds, size, min(literals, size) - 1)), (False, plain_windows(plain, kinds, size))
+                    ):
+                        slot = found & mask
+                        keep = np.flatnonzero(known[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                        if len(keep):
+                            row = zlib.crc32(text.encode()) if row is None else row
+                            rows += [
+                                (doc, row, p, h, _slots(tokens, kinds, p, size) if typed else [])
+                                for p, h in zip(at[keep].tolist(), found[keep].view(np.int64).tolist())
+                            ]
             if rows:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "row", "pos", "hash", "slots"])
 
     # written: the pass over the texts runs once, and the join below sees the true size
     near = materialise(map_arrow(docs.select("doc_id", "text"), run, DOCS), "document-windows")
-    item = bench.select("item_id", "total", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    item = bench.select("item_id", "total", "whole", "plain", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     pairs = near.join(item, "hash")
     met = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
     diagonal = pairs.groupBy("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.count_distinct("item_pos").alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met")
-    )
+        F.count_distinct("item_pos").cast("long").alias("n"), F.count_distinct(F.expr("IF(plain, NULL, item_pos)")).alias("typed"),
+        F.first("total").alias("total"), F.first("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met"),
+    )
     left = F.size(F.array_distinct(F.transform("met", lambda x: x["a"])))
     right = F.size(F.array_distinct(F.transform("met", lambda x: x["b"])))
     consistent = (F.size("met") == left) & (F.size("met") == right)
-    enough = F.col("n") >= F.least(F.lit(hits), F.col("total"))
+    typed = F.col("typed") >= F.greatest(F.lit(1), F.least(F.lit(hits), F.col("total")))
+    enough = typed | (F.col("n") >= F.least(F.lit(hits), F.col("whole")))
     found = diagonal.filter(consistent & enough).withColumn("other", F.exists("met", lambda x: x["a"] != x["b"]))
     return found.groupBy("doc_id", "item_id").agg(
-        F.max("n").alias("n_windows"), F.max("total").cast("long").alias("n_item_windows"), F.bool_and("other").alias("reworded")
+        F.max("n").alias("n_windows"), F.max("whole").cast("long").alias("n_item_windows"), F.bool_and("other").alias("reworded")
     )
 
 
