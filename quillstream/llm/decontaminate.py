@@ -8,10 +8,10 @@ fixed size, whatever the benchmark's) and are then hash-joined with them.
 A hit counts for a document and an item where enough windows lie on one
 diagonal, that is in the item's order and spacing, and the placeholders'
 fillings are consistent there: the same filling of the item always meets the
-same filling of the document and the other way round. A question with other
-numbers or names is thus caught as well as a plain copy. Windows that hold
-placeholders are also hashed by their plain words, so that a verbatim copy is
-found whatever its words are.
+same filling of the document. A question with other numbers or names is thus
+caught as well as a plain copy. Windows that hold placeholders are also hashed
+by their plain words, so that a verbatim copy is found whatever its words are:
+where the windows without any change alone are enough, nothing else counts.
 """
 
 from __future__ import annotations
@@ -253,15 +253,16 @@ def find_leaks(
     pairs = near.join(item, "hash")
     met = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
     diagonal = pairs.groupBy("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.count_distinct("item_pos").cast("long").alias("n"), F.count_distinct(F.expr("IF(plain, NULL, item_pos)")).alias("typed"),
+        F.collect_set(F.struct("item_pos", "plain", (F.col("item_slots") == F.col("slots")).alias("same"))).alias("at"),
         F.first("total").alias("total"), F.first("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met"),
     )
-    left = F.size(F.array_distinct(F.transform("met", lambda x: x["a"])))
-    right = F.size(F.array_distinct(F.transform("met", lambda x: x["b"])))
-    consistent = (F.size("met") == left) & (F.size("met") == right)
-    typed = F.col("typed") >= F.greatest(F.lit(1), F.least(F.lit(hits), F.col("total")))
-    enough = typed | (F.col("n") >= F.least(F.lit(hits), F.col("whole")))
-    found = diagonal.filter(consistent & enough).withColumn("other", F.exists("met", lambda x: x["a"] != x["b"]))
+    places = lambda keep: F.size(F.array_distinct(F.transform(F.filter("at", keep), lambda x: x["item_pos"])))
+    typed, same, every = places(lambda x: ~x["plain"]), places(lambda x: x["same"]), places(lambda x: F.lit(True))
+    consistent = F.size("met") == F.size(F.array_distinct(F.transform("met", lambda x: x["a"])))
+    reworded = consistent & (typed >= F.greatest(F.lit(1), F.least(F.lit(hits), F.col("total"))))
+    verbatim = same >= F.least(F.lit(hits), F.col("whole"))
+    diagonal = diagonal.withColumn("n", F.when(consistent, every).otherwise(same).cast("long"))
+    found = diagonal.filter(reworded | verbatim).withColumn("other", F.exists("met", lambda x: x["a"] != x["b"]))
     return found.groupBy("doc_id", "item_id").agg(
         F.max("n").alias("n_windows"), F.max("whole").cast("long").alias("n_item_windows"), F.bool_and("other").alias("reworded")
     )
