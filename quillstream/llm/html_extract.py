@@ -285,23 +285,26 @@ def furniture_of(w: list, region: str, path: list[str] | None = None) -> set[str
 
 
 def region_of(trees: list[Node], constants: frozenset[str]) -> str:
-    """Signature of the content region: article, else main, else the deepest
-    container that keeps most of the text that isn't constant."""
+    """Signature of the content region: the article with the most text, else
+    such a main, else the deepest container that keeps most of the text that
+    isn't constant in its largest element on each page."""
+    own = lambda n: sum(map(len, blocks(n, constants)))
     for tag in ("article", "main"):
-        names = [n.signature for t in trees for n in _elements(t) if n.tag == tag and not n.chrome]
-        if names:
-            return max(sorted(set(names)), key=names.count)
+        found: dict[str, int] = {}
+        for tree in trees:
+            for name in sorted({n.signature for n in _elements(tree) if n.tag == tag and not n.chrome}):
+                found[name] = found.get(name, 0) + sum(map(own, _regions(tree, name)))
+        if found:
+            return max(sorted(found), key=found.get)
     totals: dict[str, list] = {}
     for tree in trees:
-        seen: set[str] = set()
-        for n in _elements(tree):
-            if n.tag in CONTAINERS and n.signature not in seen:
-                seen.add(n.signature)
-                mass = totals.setdefault(n.signature, [0, 0, 0])
-                mass[0] += sum(map(len, blocks(n, constants)))
-                mass[1] += n.depth
-                mass[2] += 1
-    whole = max((m[0] for m in totals.values()), default=0)
+        for name in sorted({n.signature for n in _elements(tree) if n.tag in CONTAINERS}):
+            mass = totals.setdefault(name, [0, 0, 0])
+            most, depth = max(((own(n), n.depth) for n in _regions(tree, name)), default=(0, 0))
+            mass[0] += most
+            mass[1] += depth
+            mass[2] += 1
+    whole = sum(map(own, trees))
     good = [(m[1] / m[2], s) for s, m in totals.items() if whole and m[0] >= KEEP * whole]
     return max(good)[1] if good else "body"
 
@@ -314,6 +317,15 @@ def _elements(node: Node) -> Iterator[Node]:
                 yield from _elements(child)
 
 
+def _regions(node: Node, signature: str) -> list[Node]:
+    """Outermost elements of a signature in page order, without page furniture."""
+    out: list[Node] = []
+    for child in node.children:
+        if not isinstance(child, str) and not child.chrome:
+            out += [child] if child.signature == signature else _regions(child, signature)
+    return out
+
+
 def infer(pages: list[str]) -> dict:
     """The wrapper of a host's sample: expression, region, constant texts and pages."""
     trees = [parse(p) for p in pages]
@@ -324,7 +336,7 @@ def infer(pages: list[str]) -> dict:
     region = region_of(trees, frozenset(constants))
     furniture = frozenset(furniture_of(wrapper, region) if len(set(pages)) > 2 else ())
     if furniture:  # of pages that share most of their main text, that text is no furniture
-        inside = [n for t in trees for n in _elements(t) if n.signature == region and not n.chrome]
+        inside = [n for t in trees for n in _regions(t, region)]
         mass = lambda n, groups: sum(map(len, blocks(n, frozenset(), groups)))
         if any(2 * mass(n, furniture) < mass(n, frozenset()) for n in inside):
             furniture = frozenset()
@@ -338,22 +350,20 @@ def infer(pages: list[str]) -> dict:
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page by its host's wrapper; a page that lacks the
-    wrapper's region is its own sample."""
+    """The main text of a page by its host's wrapper: that of all its regions in
+    page order; a page that lacks the wrapper's region is its own sample."""
     if not page or not page.strip():
         return ""
     tree = parse(page)
-    elements = list(_elements(tree))
     region = wrapper["region"] if wrapper else None
-    found = [n for n in elements if n.signature == region and not n.chrome]
+    found = _regions(tree, region) if region else []
     if not found:
-        region = region_of([tree], frozenset())
-        found = [n for n in elements if n.signature == region and not n.chrome]
+        found = _regions(tree, region_of([tree], frozenset()))
     marked = bool(found) and found[0].tag in ("article", "main")
     constants = frozenset() if marked or not wrapper else frozenset(wrapper["constants"])
     furniture = frozenset(wrapper.get("furniture", ())) if wrapper else frozenset()
     texts = ["\n".join(blocks(n, constants, furniture)) for n in found or [tree]]
-    return max(texts, key=len)
+    return "\n".join(filter(None, texts))
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
