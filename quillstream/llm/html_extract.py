@@ -1,14 +1,22 @@
 """HTML main-text extraction by union-free wrapper inference.
 
-For each host a few pages are read as trees of tags and text. Runs of alike
-siblings fold into repeated groups; then page after page is aligned with the
-wrapper so far: tags that only one side has become optional groups, texts that
-differ become slots, equal texts stay constant. The wrapper thus is a regular
-expression without unions. Its content region is the article (or main) element
-or, where there is none, the deepest container that keeps most of the text in
-the slots. Every page is cut to that region, and what is navigation, advert,
-notice, form, comment or script inside it is left out, as are groups with a
-class or id that all sampled pages have in the region with the same text.
+A page is read as a balanced stream of tags and texts. The wrapper of a host is
+inferred by aligning the streams of a few of its pages one after the other: on
+each level a tag that comes again closes a repeated group, with all that stands
+between; a tag that one side lacks becomes optional; texts that differ become
+slots, and texts that all pages share stay constants. Every tag thus stands
+once a level, so that an alignment takes time linear in the streams, and the
+wrapper is a regular expression without unions.
+
+The wrapper decides what the main text is. Its slots are weighed by their text;
+where article or main elements hold some of it, they are the content region, as
+pages mark their main text so. Elsewhere the region is the deepest container
+that keeps most of the slots' text, with the headings and paragraphs beside the
+path to it. A page is then matched with the wrapper: outside the region all
+goes, and inside it what the wrapper holds as a constant (inside an article: as
+a constant element with a class or id of its own). What varies from page to
+page and yet isn't main text, as menus and adverts, is known by its tag, role
+or, for plain containers, its name.
 """
 
 from __future__ import annotations
@@ -20,25 +28,31 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, table
 
 #: Pages of a host that its wrapper is inferred from.
-SAMPLE = 6
+SAMPLE = 8
+#: Pages that must share a text before it is a constant.
+SUPPORT = 3
 #: Share of the slots' text that a container must keep to be the content region.
 KEEP = 0.8
+#: Share of it that articles must hold to be the region.
+MARKED = 0.1
 #: Nesting beyond which elements become siblings; nothing is lost.
 DEPTH = 200
 
+ATTRS = r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    rf"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)(?=[\s/>]){ATTRS}(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRS})>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 
@@ -47,7 +61,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article body div main section td".split())
+CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
@@ -55,45 +69,72 @@ CLOSES = {
 BARRIERS = frozenset("article aside blockquote body div footer form header main nav section table td th".split())
 CHROME = frozenset("nav header footer aside form button input select textarea dialog menu noscript object canvas audio video head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead"
-    r"|header|footer|cookies?|notices?|consent|gdpr|comments?|disqus|replies|respond|share|sharing|social|related|newsletter|subscribe"
-    r"|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|hidden)(?:$|[\s_-])",
-    re.I,
-)
+BESIDE = HEADINGS | {"p", "blockquote", "pre"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
+# Names of containers that aren't main text. A class or id counts if all its parts are known and one of them is furniture.
+ALONE = frozenset("ads advert adverts advertisement adsense adslot cookie cookies gdpr disqus breadcrumb breadcrumbs navbar newsletter commentlist".split())
+STRONG = ALONE | frozenset("ad adbox banner sponsor sponsored promo promotion consent popup modal overlay subscribe signup login comment comments reply replies respond paywall notice notices".split())
+WEAK = frozenset("sidebar side menu menus nav navigation header masthead footer share sharing social related recommended toolbar pagination pager widget widgets hidden search".split())
+NEUTRAL = frozenset(
+    "box block wrap wrapper container area section list bar top bottom left right inner outer slot unit site page global main primary secondary sticky fixed"
+    " link links post posts article articles entry item items icon icons button buttons form module group panel content message text js col row first last # #x#".split()
+)
+#: A container with such a class of its own is a part of the layout, whatever else it is called.
+LAYOUT = frozenset("content main main-content maincontent entry-content post-content article article-body story layout container wrapper page site".split())
+SITE_HEADER = frozenset("header site-header page-header global-header top-header main-header masthead".split())
+NAMED = frozenset("div section ul ol dl table".split())
+SMALL = frozenset("p li span a b i em strong article".split())
+
+
+def _furniture(tag: str, names: list[str]) -> bool:
+    """Whether class names and ids say that an element isn't main text."""
+    if tag not in NAMED and tag not in SMALL:
+        return False
+    words = STRONG if tag in SMALL else STRONG | WEAK
+    weak = words is not STRONG and LAYOUT.isdisjoint(names)
+    for name in names:
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if not ALONE.isdisjoint(parts):
+            return True
+        if "header" in parts and name not in SITE_HEADER:
+            continue
+        if all(p in words or p in NEUTRAL for p in parts) and not (words if weak else STRONG).isdisjoint(parts):
+            return True
+    return False
+
 
 class Node:
-    """An element: its tag, signature, children (elements or texts), whether it is page furniture."""
+    """An element: its tag, name in the wrapper, children (elements or texts), whether it is page furniture."""
 
-    __slots__ = ("tag", "signature", "children", "chrome", "depth")
+    __slots__ = ("tag", "name", "children", "chrome", "named", "depth")
 
     def __init__(self, tag: str, attrs: str, depth: int):
         found = {a.lower(): html.unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(attrs)} if attrs else {}
-        names = " ".join(filter(None, (found.get("class"), found.get("id"))))
-        self.tag, self.children, self.depth = tag, [], depth
-        self.signature = tag + ("." + ".".join(sorted(DIGITS.sub("#", names).lower().split())) if names else "")
-        self.chrome = (
+        own = " ".join(filter(None, (found.get("class"), found.get("id"))))
+        names = sorted(DIGITS.sub("#", own).lower().split()) if own else []
+        self.tag = "main" if found.get("role") == "main" else tag
+        self.children, self.depth = [], depth
+        self.name = self.tag if self.tag in ("article", "main", "body", "html") else tag + ("." + ".".join(names) if names else "")
+        self.named = bool(names) and _furniture(self.tag, names)
+        self.chrome = self.named or (
             tag in CHROME
             or "hidden" in found
             or found.get("aria-hidden") == "true"
             or found.get("role", "").lower() in ROLES
-            or (tag not in ("html", "body", "article", "main") and bool(names) and bool(NAMES.search(names)))
             or (bool(found.get("style")) and "display:none" in found["style"].replace(" ", "").lower())
         )
-        if found.get("role") == "main":
-            self.tag = "main"
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; scripts, styles and comments are not in it."""
+    """The tree of a page; scripts, styles and comments are not in it, character
+    references are decoded. A form around an article, a main or an h1 is no furniture."""
     root = Node("#root", "", 0)
     stack, at = [root], 0
 
     def text(value: str) -> None:
         if value:
-            stack[-1].children.append(value)
+            stack[-1].children.append(html.unescape(value))
 
     def close(tags: tuple[str, ...], barriers) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -124,6 +165,9 @@ def parse(page: str) -> Node:
             close(tuple(tags.split()), barriers)
         node = Node(tag, m["attrs"], stack[-1].depth + 1)
         stack[-1].children.append(node)
+        if node.tag in ("article", "main", "h1"):
+            for above in stack:
+                above.chrome = above.chrome and above.tag != "form"
         if tag not in VOID and not m["attrs"].endswith("/") and node.depth < DEPTH:
             stack.append(node)
     tail = page[at:]
@@ -132,238 +176,328 @@ def parse(page: str) -> Node:
 
 
 def clean(text: str) -> str:
-    return SPACES.sub(" ", html.unescape(text)).strip()
+    return SPACES.sub(" ", text).strip()
 
 
-def blocks(node: Node, constants: frozenset[str] = frozenset(), furniture: frozenset[str] = frozenset()) -> list[str]:
-    """Texts of the blocks below a node in page order, without page furniture
-    (by its own marks, or named by the wrapper as a group below the node). A
-    single line break is a space, two in a row end the block."""
+def blocks(node: Node, drop: frozenset | set = frozenset()) -> list[str]:
+    """Texts of the blocks below a node in page order, without page furniture and
+    without what is in `drop` (ids of elements, places of texts). A single line
+    break is a space, two in a row end the block; of a header only headings stay."""
     out: list[str] = []
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
-            if (t := clean("".join(parts))) and t not in constants:
+            if t := clean("".join(parts)):
                 out.append(t)
             parts.clear()
 
-    def walk(n: Node, headings_only: bool, path: list[str]) -> None:
+    def walk(n: Node, headings_only: bool) -> None:
         breaks = 0
-        for child in n.children:
+        for k, child in enumerate(n.children):
             if isinstance(child, str):
-                if not headings_only:
+                if not headings_only and not (drop and (id(n), k) in drop):
                     parts.append(child)
                 breaks = breaks if child.isspace() else 0
             elif child.tag == "br":
                 breaks += 1
                 flush() if breaks > 1 else parts.append(" ")
             elif child.chrome:
-                if child.tag == "header" and n.tag in ("article", "main"):
+                if child.tag == "header" or (child.named and "header" in child.name):
                     flush()
-                    walk(child, True, [*path, child.signature])
+                    walk(child, True)
                     flush()
-            elif furniture and "." in child.signature and _group([*path, child.signature], constant_texts(wrapper_of(child))) in furniture:
+            elif drop and id(child) in drop:
                 flush() if child.tag in BLOCKS else parts.append(" ")
             elif child.tag in BLOCKS:
                 flush()
-                walk(child, headings_only and child.tag not in HEADINGS, [*path, child.signature])
+                walk(child, headings_only and child.tag not in HEADINGS)
                 flush()
                 breaks = 0
             else:
-                walk(child, headings_only, [*path, child.signature])
+                walk(child, headings_only)
                 breaks = 0
 
-    walk(node, False, [])
+    walk(node, False)
     flush()
     return out
 
 
-# A wrapper node is [signature, quantifier, children]; a text is ["#", quantifier, constant or None for a slot].
+Part = Node | list  # an element, or a run of text as its places
 
 
-def wrapper_of(node: Node) -> list:
-    children: list[list] = []
-    for child in node.children:
+def level(node: Node) -> Iterator[tuple[str, Part]]:
+    """The stream directly below a node: elements by name, runs of text as #. Page furniture isn't in it."""
+    run: list[tuple[Node, int]] = []
+    for k, child in enumerate(node.children):
         if isinstance(child, str):
-            if (t := clean(child)) and not (children and children[-1][0] == "#"):
-                children.append(["#", "", t])
-            elif t:
-                children[-1][2] = None
-            continue
-        if child.tag == "br":
-            continue
-        new = wrapper_of(child)
-        if children and children[-1][0] == new[0]:
-            children[-1] = [new[0], "+", align(children[-1], new)[2]]
+            if not child.isspace():
+                run.append((node, k))
+        elif not child.chrome and child.tag != "br":
+            if run:
+                yield "#", run
+                run = []
+            yield child.name, child
+    if run:
+        yield "#", run
+
+
+def text_of(part: Part) -> str:
+    if isinstance(part, list):
+        return clean(" ".join(n.children[k] for n, k in part))
+    found: list[str] = []
+    stack: list = [part]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            found.append(n)
+        elif not n.chrome:
+            stack.extend(reversed(n.children))
+    return clean(" ".join(found))
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode())
+
+
+class Group:
+    """A place of the wrapper: how often it was seen, in how many of its parent's
+    occurrences and pages, the texts all pages have there, and its level below.
+    `loops` holds pairs of names between which the level repeats."""
+
+    __slots__ = ("name", "seen", "inside", "pages", "many", "fixed", "text", "items", "loops", "mass", "links")
+
+    def __init__(self, name: str):
+        self.name, self.seen, self.inside, self.pages, self.many = name, 1, 1, 1, False
+        self.fixed, self.text, self.items, self.loops, self.mass, self.links = set(), None, {}, [], 0, 0
+
+
+def wrapper_of(node: Node) -> Group:
+    """The wrapper of one page: what recurs on a level is a repeated group."""
+    out = Group(node.name)
+    order: list[str] = []
+    for name, part in level(node):
+        if isinstance(part, list):
+            child = Group("#")
+            child.text = text_of(part)
+            child.fixed = {digest(child.text)}
+        else:
+            child = wrapper_of(part)
+            child.fixed = {digest(text_of(part))}
+        if name in out.items:
+            held = out.items[name]
+            held.many = True
+            align(held, child, False)
+            out.loops.append((name, order[-1]))
         else:
-            children.append(new)
-    return [node.signature, "", children]
-
-
-def _quantifier(a: str, b: str, missing: bool = False) -> str:
-    many, none = "+" in a + b or "*" in a + b, missing or "?" in a + b or "*" in a + b
-    return ("*" if none else "+") if many else "?" if none else ""
-
-
-def align(a: list, b: list) -> list:
-    """The least wrapper that covers two of the same signature: children are
-    matched by a longest common subsequence, the others become optional."""
-    if a[0] == "#":
-        return ["#", _quantifier(a[1], b[1]), a[2] if a[2] == b[2] else None]
-    x, y = a[2], b[2]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            out.append(align(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([x[i][0], _quantifier(x[i][1], "", True), x[i][2]])
-            i += 1
+            out.items[name] = child
+            order.append(name)
+    return out
+
+
+def align(a: Group, b: Group, across: bool = True) -> Group:
+    """a, widened so that it covers b, too: `across` pages or within one. Both
+    levels are walked once; names in another order than before are one repeated group."""
+    a.seen, a.many = a.seen + b.seen, a.many or b.many
+    a.pages = a.pages + b.pages if across else 1
+    a.fixed = a.fixed & b.fixed if across else a.fixed | b.fixed
+    a.text = a.text if a.text == b.text else None
+    at = {name: k for k, name in enumerate(a.items)}
+    new: dict[str | None, list[str]] = {}
+    last, furthest = None, None
+    for name, item in b.items.items():
+        if (held := a.items.get(name)) is None:
+            new.setdefault(last, []).append(name)
+            continue
+        if furthest is not None and at[name] < at[furthest]:
+            a.loops.append((name, furthest))
         else:
-            out.append([y[j][0], _quantifier(y[j][1], "", True), y[j][2]])
-            j += 1
-    folded: list[list] = []
-    for child in out:  # neighbours that have become alike are one repeated group
-        if folded and folded[-1][0] == child[0]:
-            last = folded.pop()
-            child = [child[0], "*" if {last[1], child[1]} <= {"?", "*"} else "+", align(last, child)[2]]
-        folded.append(child)
-    return [a[0], _quantifier(a[1], b[1]), folded]
-
-
-def expression(w: list) -> str:
-    """The wrapper as text: # is a slot, quantifiers follow groups."""
-    if w[0] == "#":
-        body = "#" if w[2] is None else json.dumps(w[2], ensure_ascii=False)
+            furthest = name
+        inside = held.inside + item.inside
+        align(held, item, across).inside = inside
+        last = name
+    if new:
+        merged = {n: b.items[n] for n in new.get(None, ())}
+        for name, item in a.items.items():
+            merged[name] = item
+            merged.update((n, b.items[n]) for n in new.get(name, ()))
+        a.items = merged
+    a.loops += b.loops
+    return a
+
+
+def expression(w: Group, whole: int | None = None) -> str:
+    """The wrapper as text: # is a slot, other texts are constants, quantifiers follow groups."""
+    if w.name == "#":
+        body = "#" if w.text is None else json.dumps(w.text, ensure_ascii=False)
     else:
-        body = f"<{w[0]}>{''.join(map(expression, w[2]))}</>"
-    return f"({body}){w[1]}" if w[1] else body
+        at = {name: k for k, name in enumerate(w.items)}
+        end = list(range(len(at)))
+        for x, y in w.loops:
+            first, last = sorted((at[x], at[y]))
+            end[first] = max(end[first], last)
+        items, parts, k = list(w.items.values()), [], 0
+        while k < len(items):
+            stop, j = end[k], k
+            while j < stop:
+                j += 1
+                stop = max(stop, end[j])
+            inner = "".join(expression(x, w.seen) for x in items[k : stop + 1])
+            parts.append(f"({inner})+" if stop > k else inner)
+            k = stop + 1
+        body = f"<{w.name}>{''.join(parts)}</>"
+    optional = whole is not None and w.inside < whole
+    mark = ("*" if optional else "+") if w.many else "?" if optional else ""
+    return f"({body}){mark}" if mark else body
+
+
+def _constant(x: Group, pages: int, part: Part) -> bool:
+    return pages >= SUPPORT and x.pages == pages and bool(x.fixed) and digest(text_of(part)) in x.fixed
+
+
+def _weigh(node: Node, w: Group, pages: int, link: bool = False) -> tuple[int, int]:
+    """Adds a page's variable text to the places of the wrapper: characters outside and inside links."""
+    plain = linked = 0
+    for name, part in level(node):
+        x = w.items[name]
+        if _constant(x, pages, part):
+            continue
+        if isinstance(part, list):
+            n = len(text_of(part))
+            found = (0, n) if link else (n, 0)
+        else:
+            found = _weigh(part, x, pages, link or part.tag == "a")
+        x.mass, x.links = x.mass + found[0], x.links + found[1]
+        plain, linked = plain + found[0], linked + found[1]
+    return plain, linked
 
 
-def constants_of(w: list) -> set[str]:
-    if w[0] == "#":
-        return {w[2]} if w[2] is not None and not w[1] else set()
-    return set().union(*(constants_of(c) for c in w[2]))
+def _outermost(w: Group, name: str) -> list[Group]:
+    return [g for x in w.items.values() for g in ([x] if x.name == name else _outermost(x, name))]
 
 
-def constant_texts(w: list) -> list[str] | None:
-    """The texts of a group in order; None if it has a slot, an optional part or no text."""
-    out: list[str] = []
-    for child in w[2]:
-        if child[1] in ("?", "*"):
-            return None
-        if (found := ([child[2]] if child[2] is not None else None) if child[0] == "#" else constant_texts(child) if child[2] else []) is None:
-            return None
-        out += found
-    return out or None
+def _constants(w: Group, pages: int, every: bool) -> dict:
+    """The constants below a place: name -> [digests, the same below it]; empty places are left out."""
+    out = {}
+    for name, x in w.items.items():
+        held = sorted(x.fixed) if pages >= SUPPORT and x.pages == pages and (every or "." in name) else []
+        below = _constants(x, pages, every)
+        if held or below:
+            out[name] = [held, below]
+    return out
 
 
-def _group(path: list[str], texts: list[str] | None) -> str:
-    return json.dumps([path, texts])
+def _joined(a: dict, b: dict) -> dict:
+    return {n: [sorted({*a.get(n, [[], {}])[0], *b.get(n, [[], {}])[0]}), _joined(a.get(n, [[], {}])[1], b.get(n, [[], {}])[1])] for n in {**a, **b}}
 
 
-def furniture_of(w: list, region: str, path: list[str] | None = None) -> set[str]:
-    """Outermost groups with a class or id inside the region that all pages have with the same text."""
-    out: set[str] = set()
-    for child in w[2]:
-        if child[0] == "#" or child[1] in ("?", "*"):
-            continue
-        if path is None:
-            out |= furniture_of(child, region, [] if child[0] == region else None)
-            continue
-        below = [*path, child[0]]
-        if "." in child[0] and (texts := constant_texts(child)):
-            out.add(_group(below, texts))
-        else:
-            out |= furniture_of(child, region, below)
-    return out
+def _distinct(trees: list[Node]) -> list[Node]:
+    """Pages that don't share most of their text with an earlier one: of copies, equal texts say nothing."""
+    kept: list[tuple[Node, dict[int, int]]] = []
+    for tree in trees:
+        long_ = {digest(t): len(t) for t in blocks(tree) if len(t) >= 40}
+        if all(2 * sum(n for d, n in long_.items() if d in seen) < max(1, min(sum(long_.values()), sum(seen.values()))) for _, seen in kept):
+            kept.append((tree, long_))
+    return [t for t, _ in kept]
 
 
-def region_of(trees: list[Node], constants: frozenset[str]) -> str:
-    """Signature of the content region: the article with the most text, else
-    such a main, else the deepest container that keeps most of the text that
-    isn't constant in its largest element on each page."""
-    own = lambda n: sum(map(len, blocks(n, constants)))
+def infer_trees(trees: list[Node]) -> dict:
+    total = len(trees)
+    trees = _distinct(trees)
+    pages = len(trees)
+    wrapper = wrapper_of(trees[0])
+    for t in trees[1:]:
+        align(wrapper, wrapper_of(t))
+    mass = sum(_weigh(t, wrapper, pages)[0] for t in trees)
+    found = {"expression": expression(wrapper), "pages": total, "mark": None, "path": [], "beside": [], "own": [], "inside": {}}
     for tag in ("article", "main"):
-        found: dict[str, int] = {}
-        for tree in trees:
-            for name in sorted({n.signature for n in _elements(tree) if n.tag == tag and not n.chrome}):
-                found[name] = found.get(name, 0) + sum(map(own, _regions(tree, name)))
-        if found:
-            return max(sorted(found), key=found.get)
-    totals: dict[str, list] = {}
-    for tree in trees:
-        for name in sorted({n.signature for n in _elements(tree) if n.tag in CONTAINERS}):
-            mass = totals.setdefault(name, [0, 0, 0])
-            most, depth = max(((own(n), n.depth) for n in _regions(tree, name)), default=(0, 0))
-            mass[0] += most
-            mass[1] += depth
-            mass[2] += 1
-    whole = sum(map(own, trees))
-    good = [(m[1] / m[2], s) for s, m in totals.items() if whole and m[0] >= KEEP * whole]
-    return max(good)[1] if good else "body"
-
-
-def _elements(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if not isinstance(child, str):
-            yield child
-            if not child.chrome:
-                yield from _elements(child)
+        groups = _outermost(wrapper, tag)
+        held = sum(g.mass for g in groups)
+        if held and (pages < SUPPORT or held >= MARKED * mass):
+            found["mark"] = tag
+            found["own"] = sorted({d for g in groups if pages >= SUPPORT and g.pages == pages for d in g.fixed})
+            for g in groups:
+                found["inside"] = _joined(found["inside"], _constants(g, pages, False))
+            break
+    else:
+        at = wrapper
+        while good := [x for x in at.items.values() if x.name.split(".")[0] in CONTAINERS and mass and x.mass >= KEEP * mass]:
+            new = max(good, key=lambda x: (x.mass, x.name))
+            found["beside"].append(sorted(n for n, x in at.items.items() if x is not new and n.split(".")[0] in BESIDE and x.mass > x.links))
+            found["path"].append(new.name)
+            at = new
+        found["inside"] = _constants(at, pages, True)
+    found["region"] = found["mark"] or " > ".join(found["path"])
+    if found["inside"] or found["own"]:  # of pages that share most of their main text, that text is no furniture
+        plain = {**found, "inside": {}, "own": []}
+        if any(2 * len(_extract(t, found) or "") < len(_extract(t, plain) or "") for t in trees):
+            found = plain
+    return found
+
 
+def infer(pages: list[str]) -> dict:
+    """The wrapper of a host's sample: expression, region and what of it is constant."""
+    return infer_trees([parse(p) for p in pages])
 
-def _regions(node: Node, signature: str) -> list[Node]:
-    """Outermost elements of a signature in page order, without page furniture."""
+
+def _regions(node: Node, tag: str) -> list[Node]:
+    """Outermost elements of a tag in page order, without page furniture."""
     out: list[Node] = []
     for child in node.children:
         if not isinstance(child, str) and not child.chrome:
-            out += [child] if child.signature == signature else _regions(child, signature)
+            out += [child] if child.tag == tag else _regions(child, tag)
     return out
 
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's sample: expression, region, constant texts and pages."""
-    trees = [parse(p) for p in pages]
-    wrapper = wrapper_of(trees[0])
-    for t in trees[1:]:
-        wrapper = align(wrapper, wrapper_of(t))
-    constants = constants_of(wrapper) if len(pages) > 2 else set()
-    region = region_of(trees, frozenset(constants))
-    furniture = frozenset(furniture_of(wrapper, region) if len(set(pages)) > 2 else ())
-    if furniture:  # of pages that share most of their main text, that text is no furniture
-        inside = [n for t in trees for n in _regions(t, region)]
-        mass = lambda n, groups: sum(map(len, blocks(n, frozenset(), groups)))
-        if any(2 * mass(n, furniture) < mass(n, frozenset()) for n in inside):
-            furniture = frozenset()
-    return {
-        "expression": expression(wrapper),
-        "region": region,
-        "constants": sorted(constants),
-        "furniture": sorted(furniture),
-        "pages": len(pages),
-    }
+def _along(node: Node, wrapper: dict, k: int) -> Iterator[tuple[Node, bool]]:
+    """The elements at the end of the wrapper's path and those beside it, in page order; whether they are the region."""
+    if k == len(wrapper["path"]):
+        yield node, True
+        return
+    for name, part in level(node):
+        if name == wrapper["path"][k]:
+            yield from _along(part, wrapper, k + 1)
+        elif name in wrapper["beside"][k]:
+            yield part, False
+
+
+def _match(node: Node, inside: dict, drop: set) -> None:
+    """Matches a page's level with the wrapper's and marks what is constant."""
+    for name, part in level(node):
+        if (held := inside.get(name)) is None:
+            continue
+        if held[0] and digest(text_of(part)) in held[0]:
+            drop.update([(id(n), k) for n, k in part] if isinstance(part, list) else [id(part)])
+        elif held[1] and not isinstance(part, list):
+            _match(part, held[1], drop)
+
+
+def _extract(tree: Node, wrapper: dict) -> str | None:
+    """The main text of a tree by a wrapper; None if it doesn't have the wrapper's region."""
+    if wrapper["mark"]:
+        found = [(n, True) for n in _regions(tree, wrapper["mark"])]
+        if wrapper["own"]:
+            own = set(wrapper["own"])
+            found = [x for x in found if digest(text_of(x[0])) not in own] or found
+    else:
+        found = list(_along(tree, wrapper, 0))
+    if not any(region for _, region in found):
+        return None
+    drop: set = set()
+    if wrapper["inside"]:
+        for node, region in found:
+            if region:
+                _match(node, wrapper["inside"], drop)
+    return "\n".join(filter(None, ("\n".join(blocks(n, drop)) for n, _ in found)))
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page by its host's wrapper: that of all its regions in
-    page order; a page that lacks the wrapper's region is its own sample."""
+    """The main text of a page by its host's wrapper; a page that lacks the
+    wrapper's region, or has no text there, is its own sample."""
     if not page or not page.strip():
         return ""
     tree = parse(page)
-    region = wrapper["region"] if wrapper else None
-    found = _regions(tree, region) if region else []
-    if not found:
-        found = _regions(tree, region_of([tree], frozenset()))
-    marked = bool(found) and found[0].tag in ("article", "main")
-    constants = frozenset() if marked or not wrapper else frozenset(wrapper["constants"])
-    furniture = frozenset(wrapper.get("furniture", ())) if wrapper else frozenset()
-    texts = ["\n".join(blocks(n, constants, furniture)) for n in found or [tree]]
-    return "\n".join(filter(None, texts))
+    return (_extract(tree, wrapper) if wrapper else None) or _extract(tree, infer_trees([tree])) or ""
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -374,8 +508,13 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
+WRAPPER = "host string, expression string, region string, wrapper string, pages int"
+#: What extraction needs of a wrapper.
+MATCHED = ("mark", "path", "beside", "own", "inside")
+
+
 def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, expression, region, constants, furniture and pages from at most `sample` pages
+    """host, expression, region, wrapper (JSON) and pages from at most `sample` pages
     of each host: the smallest page_id of each of as many classes of page_ids,
     found by a partial aggregation, so that a host of any size costs a few rows."""
     hosted = _hosted(pages).filter("page_id IS NOT NULL AND html IS NOT NULL")
@@ -385,10 +524,12 @@ def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rows = hosted.join(chosen, "page_id", "left_semi").select("host", "page_id", "html")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.sort_values(["page_id", "html"])["html"].tolist()[:sample]
-        return pd.DataFrame([{"host": key[0], **infer(texts)}])
+        found = infer(group.sort_values(["page_id", "html"])["html"].tolist()[:sample])
+        return pd.DataFrame(
+            [{"host": key[0], "expression": found["expression"], "region": found["region"], "wrapper": json.dumps({k: found[k] for k in MATCHED}), "pages": found["pages"]}]
+        )
 
-    return rows.groupBy("host").applyInPandas(run, "host string, expression string, region string, constants array<string>, furniture array<string>, pages int")
+    return rows.groupBy("host").applyInPandas(run, WRAPPER)
 
 
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -398,8 +539,7 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty host; rows without a page_id are extracted but not sampled; repeated
     rows stay. Other columns are not read. An empty table gives an empty result.
     """
-    wrapper = F.to_json(F.struct("region", "constants", "furniture")).alias("wrapper")
-    wrappers = materialise(infer_wrappers(pages, sample).select(F.col("host").alias("_host"), wrapper), "wrappers")
+    wrappers = materialise(infer_wrappers(pages, sample).select(F.col("host").alias("_host"), "wrapper"), "wrappers")
     hosted = _hosted(pages)
     joined = hosted.join(wrappers, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
 
