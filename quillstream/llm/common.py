@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local one where that is unset (single-machine tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where
+    that is unset, a session on one machine (tests) gets a local one, and a
+    cluster is an error, as its executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -63,13 +66,18 @@ def _tidy() -> None:
             return
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches bounded in rows and bytes, so that a run of very
-    long texts cannot fill a worker's memory."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over slices bounded in rows and, by their mean, in bytes: Spark
+    bounds what it sends, and the slices bound the Python objects made of it at
+    once. The session's settings stay as they are."""
+    return df.mapInArrow(lambda batches: fn(_sliced(batches)), schema)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

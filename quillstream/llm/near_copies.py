@@ -1,12 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Texts with equal shingle sets are one node. Bands of min-hashes deal the nodes
-to buckets; nodes that share a bucket, over any number of buckets, are one
-candidate group. The bands only say which nodes could be alike: inside a group
-every link is decided by the shingle sets themselves. A group is searched
-breadth first, so that nodes already connected are not compared again, and a
-large group is dealt out as pairs of pieces. A pair with a similarity of 0.8
-misses all 32 bands of 5 min-hashes with a chance of 3 in a million.
+"""Near copies by the Jaccard similarity of word shingles, found over SimHash.
+
+Texts with equal shingle sets are one node, with a SimHash of 256 bits over the
+set. The Gray-order index (simhash.py) deals the nodes to buckets by sampled
+bits and finds those whose fingerprints differ in few enough bits; what it
+connects, over any number of links, is one candidate group. The index only says
+which nodes could be alike: inside a group every link is decided by the shingle
+sets themselves. A group is searched breadth first, so that nodes already
+connected are not compared again, and a large group is dealt out as pairs of
+pieces. Masks are as many as let a pair pass that agrees in 81 of 100 bits (sets
+of a handful of shingles with a similarity of 0.8) with a chance of one in a
+thousand; such a pair of longer texts agrees in 85 and is missed far less often.
 """
 
 from __future__ import annotations
@@ -16,23 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
-from .simhash import SEED, components
+from .simhash import BITS, SEED, components, links, sampled_masks
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+#: Words of 64 bits of the fingerprint, and differing bits up to which a pair is a candidate: 30 in 100.
+CODES = 4
+APART = 76
+#: Share of bits that alike pairs agree in at least, chance that all masks miss such a pair, mean nodes of a bucket.
+AGREE, MISSED, BUCKET = 0.81, 1e-3, 512
 #: Nodes and characters of a candidate group from which on it is dealt out as pairs of pieces.
 PIECE, PIECE_CHARS = 1024, 16 << 20
-#: Parts that a bucket of any size is dealt to before its parts are joined.
-SALTS = 16
-
-_made = np.random.default_rng(SEED)
-FACTORS = _made.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _made.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Odd factors that make the hashes of further words of the fingerprint.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, CODES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -45,13 +48,22 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(tokens[k : k + words]), SEED) for k in range(n)), np.uint64, n))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One key for each band of min-hashes of a shingle set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 512):
-        np.minimum(least, (FACTORS[:, None] * found[None, k : k + 512] + OFFSETS[:, None]).min(axis=1), out=least)
-    rows = least.reshape(BANDS, -1)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+def wide_code(found: np.ndarray) -> np.ndarray:
+    """SimHash of a shingle set: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(CODES * BITS, np.int64)
+    for k in range(0, len(found), 1024):
+        part = found[k : k + 1024, None] * FACTORS
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(29)
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found)).view(">u8").astype(np.uint64)
+
+
+def masks_for(count: int, bucket: int = BUCKET) -> list[tuple[int, ...]]:
+    """Masks for so many nodes: the more nodes, the more bits a mask keeps, and the more masks."""
+    keep = max(4, int(np.ceil(np.log2(max(1, count) / bucket))))
+    return sampled_masks(CODES, keep, int(np.ceil(np.log(MISSED) / np.log(1 - AGREE**keep))))
 
 
 def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -84,21 +96,25 @@ def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray
     return root
 
 
+CODE = [f"code{k}" for k in range(CODES)]
+
+
 def _marks(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high, keys, sizes = [], [], [], []
+            low, high, codes, sizes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
                 digest = xxhash.xxh128_intdigest(found.tobytes(), SEED)
                 low.append(digest & (1 << 64) - 1)
                 high.append(digest >> 64)
-                keys.append(bands(found).view(np.int64))
+                codes.append(wide_code(found))
                 sizes.append(len(text or ""))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            codes = np.array(codes, np.uint64).reshape(-1, CODES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), signed(low), signed(high), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["row", "low", "high", "bands", "size"],
+                [batch.column(0), signed(low), signed(high), pa.array(sizes, pa.int64()), *map(signed, codes.T)],
+                ["row", "low", "high", "size", *CODE],
             )
 
     return run
@@ -132,17 +148,6 @@ def _verify(words: int, similarity: float):
     return run
 
 
-def _bucket_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes of a bucket; a bucket of any size is joined in two steps."""
-    keyed = nodes.select("node", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    parts = keyed.withColumn("first", F.min("node").over(Window.partitionBy("key", "salt")))
-    parts = materialise(parts.select("key", "node", "first"), "bucket-parts")
-    whole = parts.filter("node = first").select("key", "node")
-    whole = whole.withColumn("first", F.min("node").over(Window.partitionBy("key")))
-    both = parts.select("node", "first").unionByName(whole.select("node", "first"))
-    return both.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-
-
 def near_copies(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, piece: int = PIECE) -> DataFrame:
     """row and root of every row of rows (row, text): root is the smallest row
     that can be reached over links of at least `similarity`.
@@ -150,10 +155,16 @@ def near_copies(rows: DataFrame, similarity: float = SIMILARITY, words: int = WO
     row must be unique; rows must give the same rows each time it is read.
     Null and blank texts are copies of one another.
     """
-    marked = materialise(map_arrow(rows.select("row", "text"), _marks(words), "row long, low long, high long, bands array<long>, size long"), "shingles")
-    nodes = marked.groupBy("low", "high").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), F.max("size").alias("size"))
+    shape = ", ".join(["row long, low long, high long, size long", *(f"{c} long" for c in CODE)])
+    marked = materialise(map_arrow(rows.select("row", "text"), _marks(words), shape), "shingles")
+    nodes = marked.groupBy("low", "high").agg(F.min("row").alias("node"), F.max("size").alias("size"), *(F.first(c).alias(c) for c in CODE))
     nodes = materialise(nodes, "shingle-sets")
-    found = components(materialise(_bucket_edges(nodes.select("node", "bands")), "bucket-edges"))
+    coded = materialise(nodes.groupBy(*CODE).agg(F.min("node").alias("node")), "codes")
+    count = coded.count()
+    found = links(coded.select("node", *CODE), count, APART, masks=masks_for(count))
+    # different sets of one fingerprint, as tiny ones can have, are candidates, too
+    same = nodes.join(coded.withColumnRenamed("node", "first"), CODE).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = components(found.unionByName(same))
     group = materialise(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
     group = group.join(nodes.select("node", "size"), "node")
     count = group.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))

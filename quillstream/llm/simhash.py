@@ -11,6 +11,10 @@ more than 4 places are pruned with everything below them; pairs that are
 known to be connected are skipped. A bucket gives a star for each of its
 components, never all pairs; the stars are joined by alternating large-star
 and small-star steps.
+
+A fingerprint may have several words of 64 bits. Beyond the few bits that masked
+blocks can cover, buckets take sampled bits instead: as many masks as miss a
+link with at most a given chance (near_copies.py, which then checks each link).
 """
 
 from __future__ import annotations
@@ -81,12 +85,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def sampled_masks(words: int, keep: int, count: int, seed: int = SEED) -> list[tuple[int, ...]]:
+    """Masks that keep `keep` bits each of `words` words; the bits are dealt out of shuffled decks, so that masks share few."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        deck = rng.permutation(words * BITS)
+        for k in range(0, len(deck) - keep + 1, keep):
+            mask = [0] * words
+            for bit in deck[k : k + keep].tolist():
+                mask[bit // BITS] |= 1 << bit % BITS
+            out.append(tuple(mask))
+    return out[:count]
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Position of each code in the reflected Gray sequence."""
+    """Position of each code in the reflected Gray sequence; codes are one word each, or rows of words."""
+    if codes.ndim == 1:
+        return gray_rank(codes[:, None])[:, 0]
     rank = codes.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
-    return rank
+    # the last bit of a word's rank is its parity, which turns the words after it round
+    odd = np.cumsum(rank & np.uint64(1), axis=1, dtype=np.uint64) - (rank & np.uint64(1))
+    return rank ^ (np.uint64(0) - (odd & np.uint64(1)))
+
+
+def _apart(bits: np.ndarray) -> np.ndarray:
+    """Set bits of each code; the last axis holds a code's words."""
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int32)
 
 
 def _find(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -111,7 +137,7 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 class GrayIndex:
     """Trees over the codes of many buckets at once, each bucket's codes in Gray order.
 
-    bucket must be sorted, and codes sorted by Gray rank within a bucket.
+    bucket must be sorted, and codes (n, words) sorted by Gray rank within a bucket.
     """
 
     def __init__(self, bucket: np.ndarray, codes: np.ndarray):
@@ -126,7 +152,7 @@ class GrayIndex:
             base = np.cumsum(nodes) - nodes
             child = np.repeat(starts, nodes) + (np.arange(nodes.sum()) - np.repeat(base, nodes)) * width
             end = np.minimum(child + width, np.repeat(starts + counts, nodes))
-            ands, ors = np.bitwise_and.reduceat(ands, child), np.bitwise_or.reduceat(ors, child)
+            ands, ors = np.bitwise_and.reduceat(ands, child, axis=0), np.bitwise_or.reduceat(ors, child, axis=0)
             self.levels.append((ands, ors, child, end))
             starts, counts, width = base, nodes, FAN
             if (nodes == 1).all():
@@ -145,8 +171,7 @@ class GrayIndex:
                 stack += [(level, a[k : k + SLICE], b[k : k + SLICE]) for k in range(0, len(a), SLICE)]
                 continue
             ands, ors, child, end = self.levels[level]
-            apart = np.bitwise_count((ands[a] & ~ors[b]) | (ands[b] & ~ors[a]))
-            keep = apart <= distance
+            keep = _apart((ands[a] & ~ors[b]) | (ands[b] & ~ors[a])) <= distance
             a, b = a[keep], b[keep]
             if not level:
                 self._leaves(parent, child, end, a, b, distance)
@@ -173,7 +198,7 @@ class GrayIndex:
             x, y = child[a[k : k + 1024]][:, None] + at, child[b[k : k + 1024]][:, None] + at
             inx, iny = x < end[a[k : k + 1024]][:, None], y < end[b[k : k + 1024]][:, None]
             x, y = np.where(inx, x, 0), np.where(iny, y, 0)
-            near = np.bitwise_count(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= distance
+            near = _apart(self.codes[x][:, :, None] ^ self.codes[y][:, None, :]) <= distance
             near &= inx[:, :, None] & iny[:, None, :]
             p, i, j = np.nonzero(near)
             left, right = x[p, i], y[p, j]
@@ -183,12 +208,13 @@ class GrayIndex:
 
 
 def _stars(columns: int, distance: int):
-    """mapInArrow over rows (key..., node, code) in key order: an edge from each
+    """mapInArrow over rows (key..., node, code...) in key order: an edge from each
     code's node to the node of its component's first code."""
 
-    def flush(keys: list[np.ndarray], nodes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        rank = gray_rank(codes)
-        order = np.lexsort([rank, *keys[::-1]])
+    def flush(columns_: list[np.ndarray]) -> pa.RecordBatch:
+        keys, nodes = columns_[:columns], columns_[columns]
+        codes = np.stack([c.view(np.uint64) for c in columns_[columns + 1 :]], axis=1)
+        order = np.lexsort([*gray_rank(codes).T[::-1], *keys[::-1]])
         keys, nodes, codes = [k[order] for k in keys], nodes[order], codes[order]
         change = np.zeros(len(codes), bool)
         for k in keys:
@@ -210,35 +236,44 @@ def _stars(columns: int, distance: int):
                 same &= k == k[-1]
             last = n - int(same.sum())  # the last bucket may go on in the next batch
             if last:
-                part = [c[:last] for c in held]
-                yield flush(part[:columns], part[columns], part[columns + 1].view(np.uint64))
+                yield flush([c[:last] for c in held])
                 held = [c[last:] for c in held]
         if held is not None and len(held[0]):
-            yield flush(held[:columns], held[columns], held[columns + 1].view(np.uint64))
+            yield flush(held)
 
     return run
 
 
-def links(distinct: DataFrame, count: int, distance: int = DISTANCE, bucket: int = BUCKET, piece: int = PIECE) -> DataFrame:
-    """Edges (a, b) between nodes that connect exactly the codes within distance.
-
-    distinct has node and code, each code once; count is its number of rows.
-    """
+def exact_masks(count: int, distance: int, bucket: int = BUCKET) -> list[tuple[int, ...]]:
+    """Masks of blocks such that two codes of one word within distance agree in one; more are masked as the count grows."""
     keep = 1
     while keep < 5 and count > bucket << (BITS * keep // (distance + keep)):
         keep += 1
-    masks = block_masks(distance + keep, keep)
-    keyed = distinct.select(
-        F.posexplode(F.array(*(F.col("code").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("part", "value"), "node", "code"
-    )
+    return [(m,) for m in block_masks(distance + keep, keep)]
+
+
+def links(
+    distinct: DataFrame, count: int, distance: int = DISTANCE, bucket: int = BUCKET, piece: int = PIECE, masks: list[tuple[int, ...]] | None = None
+) -> DataFrame:
+    """Edges (a, b) between nodes that connect exactly the codes within distance,
+    of those that agree in the bits of a mask where `masks` are given.
+
+    distinct has node and a column for each word of the code, each code once;
+    count is its number of rows.
+    """
+    masks = masks or exact_masks(count, distance, bucket)
+    words = [c for c in distinct.columns if c != "node"]
+    masked = lambda m: [F.col(c).bitwiseAND(F.lit(_signed(x))) for c, x in zip(words, m)]
+    value = lambda m: masked(m)[0] if len(words) == 1 else F.xxhash64(*masked(m))
+    keyed = distinct.select(F.posexplode(F.array(*map(value, masks))).alias("part", "value"), "node", *words)
     hot = keyed.groupBy("part", "value").count().filter(F.col("count") > piece)
     hot = materialise(hot.select("part", "value", F.ceil(F.col("count") / piece).cast("int").alias("pieces")), "hot-buckets")
     keyed = keyed.join(hot, ["part", "value"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    own = F.pmod(F.xxhash64("code"), F.col("pieces")).cast("int")
+    own = F.pmod(F.xxhash64(*words), F.col("pieces")).cast("int")
     # a piece meets every other one and itself in a pair of its own
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = keyed.select(
-        "part", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "code"
+        "part", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", *words
     )
     keys = ["part", "value", "low", "high"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
