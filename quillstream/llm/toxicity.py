@@ -10,9 +10,12 @@ a sum over subsequences, the trained machine folds into one weight for each
 
 Training is on the sentences of labelled documents. A toxic document's label
 says only that some sentence of it is toxic, so witnesses are selected: words
-whose sentences are far more frequent in toxic documents than elsewhere. All
-words of sentences of other documents are negatives. A text is scored by the
-margins of its most toxic windows: words, or runs of single letters read as one.
+that are far more frequent in toxic documents than elsewhere, and pairs of
+harmless neighbouring words that are so among distinct sentences (a sentence
+that is copied counts once). All other words and pairs of sentences of clean
+documents are negatives. A text is scored by the margins of its most toxic
+windows: words, runs of single letters read as one, and, within a sentence,
+pairs with a word that some witness pair has, also with one word between.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ DECAY = 0.6
 SPAN = 8
 #: Hash bits of a subsequence, distinct windows of a text that count.
 TABLE = 17
-TOP = 3
+TOP = 4
 #: Characters of a window; longer tokens are read in overlapping windows.
 WINDOW = 24
 LANDMARKS = 256
@@ -49,7 +53,12 @@ REMEMBERED = 400_000
 SENTENCE = re.compile(r"[.!?\n]+")
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 START, OTHER, END = 0, 62, 63
-LOW, HIGH = 0.0, 1.0
+LOW, HIGH = -1.0, 2.0
+#: A margin counts by a soft step here: well below the boundary of a single witness, as weak ones add up.
+STEP, SLOPE = 0.2, 8.0
+#: Distinct toxic sentences that a witness pair is found in at least, and how many pairs reach the driver.
+PAIR_SENTENCES, PAIRS = 8, 3000
+EDGE = ".,;:!?\"'()"
 #: How much more a negative word counts that the machine of the round before found near or above its boundary.
 HARD = 30.0
 #: Witnesses, the most frequent ones, that get variants.
@@ -85,6 +94,21 @@ def windows_of(text: str) -> set[str]:
     return found
 
 
+def pairs_of(text: str, parts: frozenset[str] | None = None, far: bool = False) -> Iterator[list[str]]:
+    """For each sentence of a lower-cased text its neighbouring words as pairs,
+    `far`: also with one word between; with `parts`, those with a word of it."""
+    for sentence in SENTENCE.split(text):
+        words = [w for x in sentence.split() if (w := x.strip(EDGE))]
+        if parts is not None and parts.isdisjoint(words):
+            continue
+        yield [
+            f"{a} {b}"
+            for gap in (1, 2)[: 1 + far]
+            for a, b in zip(words, words[gap:])
+            if len(a) + len(b) < WINDOW and (parts is None or a in parts or b in parts)
+        ]
+
+
 _LAYOUT: dict[int, tuple] = {}
 
 
@@ -127,10 +151,11 @@ def variants(word: str) -> list[str]:
 
 
 class Machine:
-    """One weight for each hashed subsequence, a bias, and the coefficients of
-    the probability on a text's highest margins."""
+    """One weight for each hashed subsequence, a bias, the words of witness
+    pairs, and the coefficients of the probability on a text's highest margins."""
 
     def __init__(self):
+        self.parts: frozenset[str] = frozenset()
         self.weights = np.zeros(1 << TABLE, np.float32)
         self.bias = -1.0
         self.curve = np.array([*[0.0] * TOP, -8.0])
@@ -142,7 +167,11 @@ class Machine:
         return out
 
     def probability(self, tops: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(tops @ self.curve[:-1] + self.curve[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(steps(tops) @ self.curve[:-1] + self.curve[-1], -30, 30)))
+
+
+def steps(tops: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-SLOPE * (np.asarray(tops) - STEP)))
 
 
 class Scorer:
@@ -155,7 +184,7 @@ class Scorer:
         """The TOP highest margins of each text's distinct windows, clipped; the lowest where there are fewer."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        sets = [windows_of(t.lower()) if t else set() for t in texts]
+        sets = [self.windows(t.lower()) if t else set() for t in texts]
         new = list(set().union(*sets) - self.known.keys())
         for k in range(0, len(new), 65536):
             part = new[k : k + 65536]
@@ -167,6 +196,12 @@ class Scorer:
             row[: len(best)] = best
         return np.clip(out, LOW, HIGH)
 
+    def windows(self, text: str) -> set[str]:
+        found = windows_of(text)
+        if self.machine.parts:
+            found.update(*pairs_of(text, self.machine.parts, True))
+        return found
+
 
 def _sentence_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (word, bad, good): a document's words by the sentences that hold
@@ -187,6 +222,52 @@ def _sentence_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+def _sentence_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, sentence, pair): each sentence's distinct pairs, and an empty one for the sentence itself."""
+    for batch in batches:
+        rows = []
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for pairs in pairs_of((text or "").lower()):
+                if pairs:
+                    sentence = hash_of("|".join(pairs))
+                    rows += [(label, sentence, p) for p in {"", *pairs}]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string()))], ["label", "sentence", "pair"])
+
+
+def hash_of(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode())).view(np.int64))
+
+
+def _witness_pairs(labelled: DataFrame, machine: "Machine", n_bad: float, n_good: float) -> dict[str, tuple[float, float]]:
+    """Pairs of harmless words that toxic sentences have far more often, and the
+    clean pairs most like them, with their counts in units of documents."""
+    rows = map_arrow(labelled.select("label", "text"), _sentence_pairs, "label int, sentence long, pair string").distinct()
+    counts = rows.groupBy("pair").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).persist()
+    try:
+        whole = counts.filter("pair = ''").first()
+        if whole is None or not whole["bad"] or not whole["good"]:
+            return {}
+        unit = (n_bad / whole["bad"], n_good / whole["good"])
+        rare = (F.col("bad") >= PAIR_SENTENCES) & (F.col("bad") * float(unit[0] / n_bad) > 6 * (F.col("good") + 0.5) * float(unit[1] / n_good))
+        found = counts.filter((F.col("pair") != "") & rare).orderBy(F.desc("bad"), "pair").limit(PAIRS).collect()
+        words = sorted({w for r in found for w in r["pair"].split(" ")})
+        plain = {w for w, m in zip(words, machine.margins(words, Letters())) if m < 0}
+        found = [r for r in found if plain.issuperset(r["pair"].split(" "))]
+        bad, good = np.array([(r["bad"], r["good"]) for r in found], float).reshape(-1, 2).T
+        keep = _surprise(bad, good, whole["bad"], whole["good"]) > 20
+        held = {r["pair"]: (r["bad"], r["good"]) for r, k in zip(found, keep) if k}
+        if not held:
+            return {}
+        parts = sorted({w for p in held for w in p.split(" ")})[:PAIRS]
+        has = F.arrays_overlap(F.split("pair", " "), F.array(*map(F.lit, parts)))
+        others = counts.filter(has & (F.col("good") > 0)).orderBy(F.desc("good"), "pair").limit(PAIRS).collect()
+        held = {r["pair"]: (r["bad"], r["good"]) for r in others} | held
+        return {p: (b * unit[0], g * unit[1]) for p, (b, g) in held.items()}
+    finally:
+        counts.unpersist()
+
+
 def _surprise(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
     """Likelihood-ratio statistic of a word's toxic share against the classes' sizes; 0 if not above."""
     total = bad + good
@@ -266,13 +347,18 @@ def fit(labelled: DataFrame, sizes: dict[int, int], landmarks: int = LANDMARKS,
         for _ in range(3):
             rows |= _hard_words(counts, machine, kept // 2)
             machine = _fit_words(machine, rows, n_bad, n_good, landmarks)
+        if pairs := _witness_pairs(labelled, machine, n_bad, n_good):
+            for _ in range(2):
+                machine = _fit_words(machine, rows | pairs, n_bad, n_good, landmarks)
+            toxic = [p for p, m in zip(sorted(pairs), machine.margins(sorted(pairs), Letters())) if m > 0 and pairs[p][0] > pairs[p][1]]
+            machine.parts = frozenset(w for p in toxic for w in p.split(" "))
     finally:
         counts.unpersist()
     found = _document_tops(labelled, machine)
     label = np.array([r[0] for r in found], float)
     share = np.array([sizes.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)])
     weight = share[label.astype(int)]
-    machine.curve = _logistic(np.array([r[1] for r in found]), label, weight / weight.mean())
+    machine.curve = _logistic(steps(np.array([r[1] for r in found])), label, weight / weight.mean())
     return machine
 
 
