@@ -4,7 +4,9 @@ A word starts as its byte symbols in a doubly linked list. A heap holds the
 adjacent pairs that the vocabulary can merge, by rank and position; the lowest
 is popped and merged until none is left. The count is the number of initial
 symbols minus the merges: no token identifier is ever produced. Counts of
-words are remembered in a bounded table, since words repeat.
+words are remembered in a bounded table, since words repeat. Texts are split
+here by the vocabulary's own pattern; a text with characters that Python's
+Unicode tables don't know yet is split by the library, whose tables differ.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import documents, map_arrow
 
@@ -59,10 +62,14 @@ class WordCounter(dict):
         self.final = [ids[s + suffix] for s in symbols]
         self.pairs = {(ids[a] << 20) | ids[b]: (rank << 20) | ids[a + b] for rank, (a, b) in enumerate(bpe["merges"])}
         self.split = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.path, self.library = path, None
+        self.byte = {s: b for b, s in enumerate(symbols)}
+        #: Characters seen, all of which Python's tables know.
+        self.old: set[str] = set()
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.merged(word.encode())
+        n = self[word] = self.merged(word.encode(errors="surrogateescape"))
         return n
 
     def merged(self, data: bytes) -> int:
@@ -101,11 +108,21 @@ class WordCounter(dict):
 
     def plain(self, text: str) -> int:
         if not text.isascii():
+            if (new := set(text) - self.old) and any(unicodedata.category(c) == "Cn" for c in new):
+                return sum(map(self.__getitem__, self.library_words(text)))
+            self.old |= new
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-cased letter by letter: no final form
         return sum(map(self.__getitem__, self.split.findall(text.lower())))
 
+    def library_words(self, text: str) -> list[str]:
+        """The words of a text as the library's own tables of characters have them."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, piece)).decode(errors="surrogateescape") for piece, _ in pieces]
+
     def count(self, text: str) -> int:
         """Tokens of a text; a special string inside it is one token."""
         if len(self) > REMEMBERED:
