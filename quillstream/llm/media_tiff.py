@@ -2,7 +2,9 @@
 
 The reader walks the chain of image directories in either byte order, decodes
 strips or tiles that are stored plain, as PackBits, LZW or deflate, undoes
-the horizontal predictor and gives one row for each page. The writer makes
+the horizontal predictor and gives one row for each page. A strip that is short,
+too long or damaged, a size that the data can't hold and an unknown coding are
+errors, never filled up. The writer makes
 multi-page files in any of these codings from 8-bit samples.
 """
 
@@ -27,6 +29,9 @@ FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 FIELD_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 PLAIN, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
+#: Bytes that one stored byte can decode to at most (deflate; the others stay below).
+EXPANSION = 1040
+
 ROW = 64
 PAGE_ROWS = 4096
 STRIP_ROWS = 1024
@@ -124,6 +129,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         elif code < len(table):
             word = table[code]
             table.append(last + word[:1])
+        elif code > len(table):
+            raise ValueError("LZW code beyond the table")
         else:
             word = last + last[:1]
             table.append(word)
@@ -150,10 +157,15 @@ def decode_block(data: bytes, compression: int, size: int) -> bytes:
     elif compression == LZW:
         out = lzw_decode(data, size)
     elif compression in (ADOBE_DEFLATE, DEFLATE):
-        out = zlib.decompressobj().decompress(data, size)
+        stream = zlib.decompressobj()
+        out = stream.decompress(data, size + 1)
+        if not stream.eof:
+            raise ValueError("the deflate stream doesn't end with its strip")
     else:
         raise ValueError(f"compression {compression} is not supported")
-    return out.ljust(size, b"\0")
+    if len(out) != size:
+        raise ValueError(f"a strip or tile of {len(out)} bytes instead of {size}")
+    return out
 
 
 def write_tiff(
@@ -207,7 +219,9 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         raise ValueError("not a TIFF file")
     (at,) = struct.unpack_from(order + "I", data, 4)
     seen = set()
-    while at and at not in seen and at + 2 <= len(data):
+    while at and at not in seen:
+        if at + 2 > len(data):
+            raise ValueError("a directory lies outside the file")
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
         fields = {}
@@ -218,6 +232,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
                 continue
             if size > 4:
                 (where,) = struct.unpack_from(order + "I", data, where)
+                if where + size > len(data):
+                    raise ValueError(f"field {tag} lies outside the file")
             fields[tag] = struct.unpack_from(f"{order}{count}{FIELD_CODE[kind]}", data, where)
         yield order, fields
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
@@ -228,7 +244,7 @@ def read_pages(data: bytes) -> Iterator[np.ndarray]:
     for order, f in directories(data):
         w, h, s = f[WIDTH][0], f[LENGTH][0], f.get(SAMPLES, (1,))[0]
         bits = f.get(BITS, (1,))[0]
-        if bits not in (8, 16):
+        if bits not in (8, 16) or len(set(f.get(BITS, (1,)))) > 1:
             raise ValueError(f"{bits} bits a sample are not supported")
         kind = np.dtype("u1" if bits == 8 else order + "u2")
         compression, predictor = f.get(COMPRESSION, (PLAIN,))[0], f.get(PREDICTOR, (1,))[0]
@@ -237,6 +253,14 @@ def read_pages(data: bytes) -> Iterator[np.ndarray]:
         tiled = TILE_OFFSETS in f
         th, tw = (f[TILE_LENGTH][0], f[TILE_WIDTH][0]) if tiled else (min(f.get(ROWS_PER_STRIP, (h,))[0], max(h, 1)), w)
         offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} is not supported")
+        if min(w, h, s, th, tw) < 1 or planes * per != s:
+            raise ValueError("a page without samples")
+        if len(offsets) != len(counts) or len(offsets) < planes * -(-h // th) * -(-w // tw):
+            raise ValueError("strips or tiles are missing")
+        if max(w * h, th * tw) * s * kind.itemsize > EXPANSION * sum(min(c, len(data)) for c in counts):
+            raise ValueError(f"{w} x {h} samples are more than the data can hold")
         page = np.zeros((h, w, s), kind.newbyteorder("="))
         k = 0
         for plane in range(planes):
@@ -290,7 +314,7 @@ def tiff_pages(images: DataFrame, key: str = "doc_id", column: str = "media") ->
                         raise ValueError("no image")
                     for n, p in enumerate(read_pages(data)):
                         rows.append((k, n, p.shape[1], p.shape[0], p.shape[2], p.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                     rows = [(k, -1, None, None, None, None, str(e) or type(e).__name__)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
