@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, documents, held_out, map_arrow, training_rows
@@ -23,8 +23,10 @@ UNKNOWN = "und"
 GRAMS = 5
 #: Documents of each language that the model is fitted on.
 SAMPLE = 1500
-#: Words, and n-grams, that the model keeps: the most frequent of the sample.
+#: Words, and n-grams, that the model keeps, in equal parts for each language: its most frequent ones.
 KEPT = 60_000
+#: The least of them for each language, however many languages there are.
+LEAST = 3000
 #: Words a worker remembers; its table is emptied when it is full.
 REMEMBERED = 400_000
 #: Words of a text from which on certainty no longer grows with length.
@@ -119,13 +121,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Model:
     counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).persist()
     try:
         totals = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", "kind").agg(F.sum("n")).collect()}
-        order = [F.desc("n"), "item", "lang"]
-        words = counts.filter("kind = 0").orderBy(*order).limit(kept).collect()
-        grams = counts.filter("kind > 0").orderBy(*order).limit(kept).collect()
+        quota = max(LEAST, kept // max(1, len({lang for lang, _ in totals})))
+        ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.col("kind") > 0).orderBy(F.desc("n"), "item", "kind")))
+        items = ranked.filter(F.col("rank") <= quota).select("lang", "kind", "item", "n").collect()
     finally:
         counts.unpersist()
     langs = sorted({lang for lang, _ in totals})
-    return Model(langs, totals, [tuple(r) for r in words + grams])
+    return Model(langs, totals, sorted(map(tuple, items)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
