@@ -108,12 +108,13 @@ def encode(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
         hasher.clear()
     ids = np.fromiter(map(hasher.__getitem__, words), np.int64, len(words))
     distinct, counts = np.unique(ids, return_counts=True)
-    hashed = np.bincount(distinct >> 19 & (BUCKETS - 1), np.log1p(counts), minlength=BUCKETS)
-    shapes = np.bincount(distinct >> 9 & (SHAPE_BUCKETS - 1), counts, minlength=SHAPE_BUCKETS)
-    x = np.concatenate([statistics(text, ids, counts), *(v / max(1e-9, np.sqrt(v @ v)) for v in (hashed, shapes))])
-    x[:STATS] += 1e-12  # statistics are features even where they are zero
-    at = np.flatnonzero(x)
-    return at, x[at]
+    at, x = [np.arange(STATS)], [np.asarray(statistics(text, ids, counts))]
+    for first, buckets, values in ((STATS, distinct >> 19 & (BUCKETS - 1), np.log1p(counts)), (STATS + BUCKETS, distinct >> 9 & (SHAPE_BUCKETS - 1), counts)):
+        found, back = np.unique(buckets, return_inverse=True)
+        v = np.bincount(back, values, minlength=len(found))
+        at.append(first + found)
+        x.append(v / max(1e-9, np.sqrt(v @ v)))
+    return np.concatenate(at), np.concatenate(x)
 
 
 class Machine:
