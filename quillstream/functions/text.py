@@ -6,6 +6,7 @@ engine: \\s is the wide white-space class, \\b knows ASCII words only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -15,6 +16,26 @@ from pyspark.sql import functions as F
 WS = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 WS_IN_LINE = WS.replace("\\n", "")
 BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: The same characters for Python's strip().
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WORD_NEXT, WORD_BEFORE = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
+GROUP = r"\((?:\?:)?([^()]*)\)"
+
+
+def _boundary(before: str, after: str) -> str:
+    """The shortest test that is a word boundary between two parts of a pattern:
+    where a word character must follow (or come before), one look is enough."""
+    word = lambda c: re.fullmatch(r"[A-Za-z0-9_]", c, re.A) is not None
+    group = re.match(GROUP + r"(?![?*{])", after)
+    if (
+        re.match(r"(?:[A-Za-z0-9_]|\\[wd]|\[[a-zA-Z0-9-]+\])(?![?*{])", after, re.A)
+        or (group and all(word(x[:1]) and x[1:2] not in ("?", "*", "{") for x in group[1].split("|")))
+    ):
+        return WORD_BEFORE
+    group = re.search(GROUP + r"\Z", before)
+    if re.search(r"\\[wd]\+?\Z", before) or (group and all(word(x[-1:]) and x[-2:-1] != "\\" for x in group[1].split("|"))):
+        return WORD_NEXT
+    return BOUNDARY
 
 
 def js(pattern: str) -> str:
@@ -27,7 +48,7 @@ def js(pattern: str) -> str:
         elif two == "\\S":
             out.append(f"[^{WS}]")
         elif two == "\\b" and not inside:
-            out.append(BOUNDARY)
+            out.append(_boundary(pattern[:i], pattern[i + 2 :]))
         elif two[:1] == "\\":
             out.append(two)
         else:

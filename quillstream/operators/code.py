@@ -10,10 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import let, lines, ltrim, replace_all, trim
+from ..functions.text import BLANKS, let, lines, ltrim, replace_all, trim, units
 from .debug import cleanup, merge_blank_lines
 from .runs import collapse_lines
 
+# Remarks and addresses that keep a comment, the start of a heredoc.
 MARKED = re.compile(r"\b(?:TODO|FIXME|HACK|XXX)\b", re.I | re.A)
 URL = re.compile(r"https?://")
 HEREDOC = re.compile(r"<<<[ \t]*(['\"]?)([A-Za-z_][A-Za-z0-9_]*)\1[ \t]*\Z")
@@ -29,13 +30,13 @@ def cut_comment(line: str, pattern: re.Pattern) -> str:
         if m.groupdict().get("t"):
             return line
         if m["c"]:
-            before = line[: m.start()].rstrip()
+            before = line[: m.start()].rstrip(BLANKS)
             return before or line
     return line
 
 
 def without_inline(line: str, kind: str, hook: bool) -> str:
-    if MARKED.search(line) or line.lstrip().startswith(("//", "#", "/*")):
+    if MARKED.search(line) or line.lstrip(BLANKS).startswith(("//", "#", "/*")):
         return line
     if (hook or kind != "code-py") and URL.search(line):
         return line
@@ -68,7 +69,7 @@ def strip_comment_lines(text: str, kind: str, hook: bool = False) -> str:
     ends, block, doc = None, False, False
     marks = {"code-py": ("#",), "code-php": ("//", "#")}.get(kind, ("//",))
     for line in text.split("\n"):
-        t = line.lstrip()
+        t = line.lstrip(BLANKS)
         if ends or (kind == "code-php" and HEREDOC.search(line)):
             ends = _heredoc(line, ends)
             out.append(line)
@@ -91,14 +92,20 @@ def strip_comment_lines(text: str, kind: str, hook: bool = False) -> str:
 
 
 def _strip(text: pd.Series, kind: pd.Series, hook: pd.Series) -> pd.DataFrame:
-    first = [None if t is None else strip_inline(t, k, bool(h)) for t, k, h in zip(text, kind, hook)]
-    return pd.DataFrame({"inline": first, "lines": [None if t is None else strip_comment_lines(t, k, bool(h)) for t, k, h in zip(first, kind, hook)]})
+    rows = []
+    for t, k, h in zip(text, kind, hook):
+        try:
+            first = None if t is None else strip_inline(t, k, bool(h))
+            rows.append((first, None if t is None else strip_comment_lines(first, k, bool(h)), None))
+        except Exception as e:  # noqa: BLE001
+            rows.append((None, None, str(e) or type(e).__name__))
+    return pd.DataFrame(rows, columns=["inline", "lines", "error"])
 
 
 def strip_comments(text: Column, kind: Column, hook: bool = False) -> Column:
-    """The text after each of the two comment layers. Marked nondeterministic,
+    """The text after each of the two comment layers, or the error of a text that one fails on. Marked nondeterministic,
     so that filters stay above it and it runs once a row."""
-    shape = StructType([StructField("inline", StringType()), StructField("lines", StringType())])
+    shape = StructType([StructField("inline", StringType()), StructField("lines", StringType()), StructField("error", StringType())])
     return F.pandas_udf(_strip, shape).asNondeterministic()(text, kind, F.lit(hook))
 
 
@@ -141,10 +148,10 @@ LAYERS = ("merge-blank-lines", "remove-inline-comments", "remove-comment-lines",
 
 
 def compress_code(text: Column, kind: Column, profile: str = "core") -> Column:
-    """The compressed text and the names of the layers that changed it."""
+    """The compressed text, the names of the layers that changed it, and the error of a text that can't be compressed."""
     merged = merge_blank_lines(text)
     stripped = strip_comments(merged, kind, profile == "hook")
-    long_ = (F.length(text) / 4 > 500) & F.lit(profile == "core")
+    long_ = (units(text) / 4 > 500) & F.lit(profile == "core")
 
     def body(s: Column) -> Column:
         short = F.when(kind.isin("code-ts", "code-generic"), shorten_imports(s["lines"])).otherwise(s["lines"])
@@ -158,7 +165,7 @@ def compress_code(text: Column, kind: Column, profile: str = "core") -> Column:
                 def out(folded: Column) -> Column:
                     states = [text, merged, s["inline"], s["lines"], short, summed, folded]
                     names = [F.when(a != b, F.lit(n)) for a, b, n in zip(states, states[1:], LAYERS)]
-                    return F.struct(cleanup(folded).alias("text"), F.array_compact(F.array(*names)).alias("layers"))
+                    return F.struct(cleanup(folded).alias("text"), F.array_compact(F.array(*names)).alias("layers"), s["error"].alias("error"))
 
                 return let(folded, out)
 

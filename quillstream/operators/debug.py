@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import WS_IN_LINE, at, blank, js, let, lines, ltrim, trim
+from ..functions.text import WS_IN_LINE, at, blank, js, let, lines, ltrim, replace_all, trim
 from .runs import collapse_lines
 
 NOTE_TAG = "[compact]"
@@ -44,12 +44,15 @@ def drop_pointers(rows: Column) -> Column:
 
 
 def diagnostic_key(line: Column) -> Column:
-    """Severity, code and message of a compiler or linter diagnostic; null for other lines."""
+    """Severity, code and message of a compiler or linter diagnostic, white space
+    in the message folded; null for other lines."""
     t = trim(line)
     tsc, lint = js(TSC), js(LINT)
+    part = lambda p, k: F.regexp_extract(t, p, k)
+    fold = lambda c: replace_all(c, r"\s+", " ")
     return F.when(
-        t.rlike(tsc), F.concat_ws(":", F.lit("tsc"), *(F.regexp_extract(t, tsc, k) for k in (1, 2, 3)))
-    ).when(t.rlike(lint), F.concat_ws(":", F.lit("lint"), *(F.regexp_extract(t, lint, k) for k in (1, 2, 3))))
+        t.rlike(tsc), F.concat_ws(":", F.lit("tsc"), part(tsc, 1), part(tsc, 2), fold(part(tsc, 3)))
+    ).when(t.rlike(lint), F.concat_ws(":", F.lit("lint"), part(lint, 1), fold(part(lint, 2)), part(lint, 3)))
 
 
 def _times(n: Column) -> Column:

@@ -133,8 +133,8 @@ def confidence(fmt: Column, score: Column) -> Column:
 
 
 def detect(df: DataFrame, profile: str = "core") -> DataFrame:
-    """Adds format, confidence and toon (the structured rewrite, null for other
-    formats). The parser sees only texts that pass a cheap gate."""
+    """Adds format, confidence, toon (the structured rewrite, null for other
+    formats) and parsed_error (why a reader or the rewrite failed). The parser sees only texts that pass a cheap gate."""
     text, hook = F.col("content"), profile == "hook"
     gates = (
         text.rlike(f"\\A[{WS}]*[\\[{{]"),

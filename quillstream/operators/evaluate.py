@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Iterator
 
@@ -16,23 +17,28 @@ from ..functions.text import units
 
 
 def chars4(text: Column) -> Column:
-    """A quarter of the length, rounded up."""
-    return F.ceil(F.length(text) / 4).cast("long")
+    """A quarter of the length in UTF-16 units, rounded up."""
+    return F.ceil(units(text) / 4).cast("long")
 
 
-def _bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@functools.cache
+def encoder():
+    """The byte-level encoder, made once a worker process."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoder = tiktoken.Encoding("payload", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("payload", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _bpe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([None if t is None else len(encoder.encode_ordinary(t)) for t in texts], dtype="Int64")
+        yield pd.Series([None if t is None else len(encoder().encode_ordinary(t)) for t in texts], dtype="Int64")
 
 
 def bpe(text: Column) -> Column:
-    """Tokens of a byte-level vocabulary; the encoder is made once a task.
+    """Tokens of a byte-level vocabulary; the encoder is made once a worker.
     Marked nondeterministic, so that filters stay above it and it runs once a row."""
     return F.pandas_udf(_bpe, LongType()).asNondeterministic()(text)
 
@@ -76,8 +82,9 @@ def skipped_tool(tool: Column, patterns: tuple[str, ...], literal_fallback: bool
 
 
 def admission(cfg: Config) -> Column:
-    """The reason why a payload isn't looked at, or null. Reads content and tool_name."""
-    text, tool = F.col("content"), F.coalesce(F.col("tool_name"), F.lit("unknown"))
+    """The reason why a payload isn't looked at, or null. Reads content and
+    tool_name; a payload without a tool's name is never skipped by it."""
+    text, tool = F.col("content"), F.when(F.col("tool_name") != "", F.col("tool_name"))
     size = units(text)
     reason = F.when(text.isNull(), "Invalid input: content must be a string").when(
         size > cfg.max_units, F.concat(F.lit("Content too large: "), F.format_string("%.1f", size / 1048576.0), F.lit("MB exceeds 10MB limit"))
@@ -88,5 +95,5 @@ def admission(cfg: Config) -> Column:
     if cfg.skip_tools:
         reason = reason.when(skipped_tool(tool, cfg.skip_tools, hook), F.concat(F.lit("Tool "), tool, F.lit(" in skip list")))
     if hook:
-        reason = reason.when((F.length(text) < 50) | (chars4(text) < cfg.min_tokens), "Too small")
+        reason = reason.when((size < 50) | (chars4(text) < cfg.min_tokens), "Too small")
     return reason

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, js, let
+from ..functions.text import blank, js, let, units
 
 # Code, name, native name, token multiplier, confidence, patterns (without flags).
 PROFILES = (
@@ -62,7 +62,7 @@ def _one(sample: Column, profile: tuple, seq: int) -> Column:
     def rate(c: Column) -> Column:
         total = functools.reduce(lambda a, b: a + b, (c[i] for i in range(len(patterns))))
         matched = functools.reduce(lambda a, b: a + b, ((c[i] > 0).cast("int") for i in range(len(patterns))))
-        density = F.least(total / (F.greatest(F.length(sample), F.lit(1)) / 5.0), F.lit(1.0))
+        density = F.least(total / (F.greatest(units(sample), F.lit(1)) / 5.0), F.lit(1.0))
         return F.struct(matched.alias("matched"), (matched / float(len(patterns))).alias("share"), density.alias("density"))
 
     def judge(r: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import BLANKS
+
 try:
     import yaml
 except ImportError:  # YAML payloads then count as text
@@ -114,18 +116,18 @@ QUOTED = re.compile(r'"((?:[^"]|"")*)(?:"|\Z)')
 def csv_fields(line: str, quoted: bool = True) -> list[str]:
     """Trimmed fields of a line; quotes may hold commas, and two are one."""
     if not quoted:
-        return [f.strip() for f in line.split(",")]
+        return [f.strip(BLANKS) for f in line.split(",")]
     out, at = [], 0
     while True:
         m = FIELD.match(line, at)
-        out.append(QUOTED.sub(lambda q: q[1].replace('""', '"'), m[1]).strip())
+        out.append(QUOTED.sub(lambda q: q[1].replace('""', '"'), m[1]).strip(BLANKS))
         at = m.end()
         if not m[2]:
             return out
 
 
 def read_csv(text: str, quoted: bool = True) -> list[dict]:
-    rows = [line for line in text.split("\n") if line.strip()]
+    rows = [line for line in text.split("\n") if line.strip(BLANKS)]
     names = csv_fields(rows[0], quoted)
     out = []
     for line in rows[1:]:
@@ -152,7 +154,7 @@ def scalar(value) -> str:
 
 def quoted(text: str) -> str:
     plain = (
-        text != "" and text == text.strip() and text not in ("true", "false", "null") and not NUMBER.fullmatch(text)
+        text != "" and text == text.strip(BLANKS) and text not in ("true", "false", "null") and not NUMBER.fullmatch(text)
         and not UNSAFE.search(text) and not text.startswith("-")
     )
     return text if plain else f'"{text.translate(ESCAPES)}"'
@@ -226,24 +228,27 @@ def parse(text: str, gate: str, profile: str):
 
 
 def read_structured(gated: DataFrame, text: str, gate: str, profile: str) -> DataFrame:
-    """Adds parsed_format and toon to the rows whose gate isn't 000. One Arrow
-    pass over the rows; the plan's filters stay on their own side of it."""
+    """Adds parsed_format, toon and parsed_error to the rows whose gate isn't 000.
+    One Arrow pass over the rows; the plan's filters stay on their own side of
+    it. No text makes it fail: what goes wrong is that row's parsed_error."""
     names = gated.columns
-    schema = StructType([*gated.schema.fields, StructField("parsed_format", StringType()), StructField("toon", StringType())])
+    added = ["parsed_format", "toon", "parsed_error"]
+    schema = StructType([*gated.schema.fields, *(StructField(c, StringType()) for c in added)])
 
     def one(t: str | None, g: str) -> tuple:
-        fmt, data = (None, None) if t is None or g == "000" else parse(t, g, profile)
+        fmt = None
         try:
-            return fmt, None if fmt is None else toon_encode(data)
-        except RecursionError:
-            return fmt, t
+            fmt, data = (None, None) if t is None or g == "000" else parse(t, g, profile)
+            return fmt, None if fmt is None else toon_encode(data), None
+        except Exception as e:  # noqa: BLE001
+            return fmt, None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, by = names.index(text), names.index(gate)
         for batch in batches:
             found = [one(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column(by).to_pylist())]
-            new = [pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "parsed_format", "toon"])
+            new = [pa.array([f[k] for f in found], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *added])
 
     return gated.mapInArrow(run, schema)
 

@@ -35,32 +35,37 @@ def conversation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), F.col("role").alias("tool_name"), F.col("text").alias("content"))
 
 
-def order_payloads(spark: SparkSession, sf_dir: str, fmt: str = "json") -> DataFrame:
-    """One JSON or CSV payload for each order, with its line items."""
+def order_payloads(spark: SparkSession, sf_dir: str, *formats: str) -> DataFrame:
+    """A payload in each of the formats (json, csv) for each order, with its line items, from one aggregation."""
     item = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    if fmt == "json":
-        content = F.to_json(F.struct(F.col("l_orderkey").alias("order"), "items"), {"pretty": "true"})
-    else:
-        row = lambda r: F.concat_ws(",", r["l_linenumber"].cast("string"), r["l_partkey"].cast("string"), r["l_quantity"].cast("string"), r["l_returnflag"])
-        content = F.concat_ws("\n", F.lit("line,part,quantity,flag"), F.transform("items", row))
-    return items.select(F.col("l_orderkey").alias("payload_id"), F.lit(f"orders_{fmt}").alias("tool_name"), content.alias("content"))
+    row = lambda r: F.concat_ws(",", r["l_linenumber"].cast("string"), r["l_partkey"].cast("string"), r["l_quantity"].cast("string"), r["l_returnflag"])
+    content = {
+        "json": F.to_json(F.struct(F.col("l_orderkey").alias("order"), "items"), {"pretty": "true"}),
+        "csv": F.concat_ws("\n", F.lit("line,part,quantity,flag"), F.transform("items", row)),
+    }
+    made = F.explode(F.array(*(F.struct(F.lit(f"orders_{f}").alias("tool_name"), content[f].alias("content")) for f in formats or ("json",))))
+    return items.select(F.col("l_orderkey").alias("payload_id"), made.alias("r")).select("payload_id", "r.tool_name", "r.content")
+
+
+#: Events of a log and parts of a source file: payloads grow in number with the tables, not in size.
+LOG_EVENTS, FILE_PARTS = 200, 50
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diagnostic lines (payload_id, pos, line) made from events, one log for each user."""
+    """Diagnostic lines (payload_id, pos, line) made from events, one log for every 200 of them."""
     e = table(spark, sf_dir, "events")
     seq = F.col("event_id")
     line = (
         F.when(seq % 7 == 0, F.lit(""))
-        .when(seq % 7 == 1, F.concat(F.lit("src/"), F.col("event_type"), F.lit(".ts:"), (seq % 90 + 1).cast("string"), F.lit(":5 - error TS2322: bad "), F.col("event_type")))
+        .when(seq % 7 == 1, F.concat(F.lit("src/"), F.col("event_type"), F.lit(".ts:"), (seq % 90 + 1).cast("string"), F.lit(":5 - error TS2322: bad "), F.when(seq % 2 == 0, " ").otherwise(""), F.col("event_type")))
         .when(seq % 7 == 2, F.concat((seq % 40).cast("string"), F.lit(" | value")))
         .when(seq % 7 == 3, F.concat(F.lit("    at handler (/app/"), F.col("event_type"), F.lit(".js:10:3)")))
         .when(seq % 7 == 4, F.lit("      ^^^^"))
         .otherwise(F.concat(F.lit("warn: "), F.col("event_type")))
     )
     copies = F.explode(F.sequence(F.lit(1), (seq % 9 + 1).cast("int")))
-    rows = e.select((F.col("user_id") % 50).alias("payload_id"), "event_id", line.alias("line"), copies.alias("copy"))
+    rows = e.select(F.expr(f"event_id div {LOG_EVENTS}").alias("payload_id"), "event_id", line.alias("line"), copies.alias("copy"))
     return rows.select("payload_id", (F.col("event_id") * 16 + F.col("copy")).alias("pos"), "line")
 
 
@@ -71,8 +76,8 @@ def log_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file for each nation and language, with imports, comments and repeated lines."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", (F.col("p_partkey") % 25).alias("n"))
+    """A source file in each of two languages for every 50 parts, with imports, comments and repeated lines."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.expr(f"p_partkey div {FILE_PARTS}").alias("n"))
     ordered = F.sort_array(F.collect_list(F.struct("p_partkey", "p_brand", "p_size")))
     rows = p.groupBy("n").agg(ordered.alias("parts"))
     slash = lambda r: F.concat(F.lit("const part"), r["p_partkey"].cast("string"), F.lit(": number = "), r["p_size"].cast("string"), F.lit("; // "), r["p_brand"])
@@ -117,6 +122,21 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def state_bytes(spark: SparkSession, path: str) -> int:
+    """Size of stored state; 0 where nothing is stored."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+
+def clear_state(spark: SparkSession, path: str) -> None:
+    """Removes stored state; nothing where nothing is stored."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_state(rows: DataFrame, path: str) -> None:
     """Replaces stored state; readers see the old or the new, by the committer's rename."""
     rows.write.mode("overwrite").parquet(path)
