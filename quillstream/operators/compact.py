@@ -147,7 +147,7 @@ def optimize_cached(payloads: DataFrame, entries: DataFrame, now: int, cfg: Conf
     asked = payloads.drop(*RESULT, "was_cached").withColumn("_key", F.when(~refused, key)).join(stored, F.col("_key") == F.col("_held"), "left").drop("_held")
     own = [c for c in asked.columns if c not in ("_key", "_value")]
     hit = asked.filter("_value IS NOT NULL")
-    missed = memoise(asked.filter("_value IS NULL").drop("_value"), lambda df: optimize(df, cfg))
+    missed = memoise(asked.filter("_value IS NULL").drop("_value", "_key"), lambda df: optimize(df, cfg)).withColumn("_key", key)
     rows = hit.select("_key", *own, "_value.*", F.lit(True).alias("was_cached"))
     rows = rows.unionByName(missed.select("_key", *own, *RESULT, F.lit(False).alias("was_cached")))
     new = missed.filter("optimized").select(F.col("_key").alias("key"), F.to_json(F.struct(*RESULT)).alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import code, debug, detect, evaluate, language, metrics, prompt_cache, result_cache, runs, structured
-from ..operators.compact import cache_key, memoise, optimize
+from ..operators.compact import cache_key, hook_response, memoise, optimize, optimize_cached
 from ..sources import payloads as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,13 @@ def detect_code_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def detect_code_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first language in order with enough signs."""
+    pages = src.table(spark, sf_dir, "pages").select(F.col("page_id").alias("payload_id"), F.coalesce("html", F.lit("")).alias("content"))
+    rows = pages.unionByName(src.code_payloads(spark, sf_dir).select("payload_id", "content"))
+    return rows.groupBy(F.coalesce(detect.code_type(F.col("content")), F.lit("none")).alias("code_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("payload_id").alias("ids"))
+
+
 def detect_debug_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = detect.debug_score(F.col("content"))
     rows = src.log_payloads(spark, sf_dir).select("payload_id", score.alias("score"))
@@ -53,7 +60,7 @@ def skip_tool_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = Config(profile="hook", skip_tools=("^src1$", "src2"))
+    cfg = Config(profile="hook", skip_tools=("^src1$", "src2"), max_units=5000)
     rows = src.text_payloads(spark, sf_dir).withColumn("reason", evaluate.admission(cfg))
     return rows.groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -75,6 +82,19 @@ def merge_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("payload_id", F.sha2(debug.merge_blank_lines(text), 256).alias("digest"))
 
 
+def cleanup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends trimmed, blank runs merged, one line feed at the end."""
+    rows = src.conversation_payloads(spark, sf_dir)
+    text = F.concat(F.lit("\u00a0\n"), F.regexp_replace(F.coalesce("content", F.lit("")), ", ", ", \t\n\n\n\n"), F.lit(" \ufeff"))
+    return rows.select("payload_id", F.sha2(debug.cleanup(text), 256).alias("digest"))
+
+
+def drop_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered source lines go."""
+    rows = src.log_payloads(spark, sf_dir)
+    return rows.select("payload_id", F.posexplode(debug.drop_excerpts(F.split("content", "\n", -1))).alias("pos", "line"))
+
+
 def drop_pointer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.log_lines(spark, sf_dir)
     return rows.filter(~debug.is_pointer(F.col("line"))).groupBy("payload_id").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -120,7 +140,7 @@ def _code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(k % 11 < 8, F.concat(F.lit("import p"), k.cast("string"))).when(
         k % 97 == 9, F.lit("return")
     ).otherwise(F.concat(F.lit("const part"), k.cast("string"), F.lit(" = '"), F.col("p_brand"), F.lit("'")))
-    return parts.select((k % 5).alias("payload_id"), F.floor(k / 5).alias("pos"), line.alias("line"))
+    return parts.select(F.expr("p_partkey div 200").alias("payload_id"), (k % 200).alias("pos"), line.alias("line"))
 
 
 def summarise_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +168,11 @@ def toon_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(src.order_payloads(spark, sf_dir)).select("payload_id", "format", "toon")
 
 
+def csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV payloads as the notation; their fields are texts."""
+    return detect.detect(src.order_payloads(spark, sf_dir, "csv")).select("payload_id", "format", "confidence", "toon")
+
+
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.text_payloads(spark, sf_dir).withColumn("found", language.detect_language(F.col("content")))
     return rows.select("payload_id", F.col("found.code").alias("code"), F.round("found.confidence", 6).alias("confidence"))
@@ -168,6 +193,17 @@ def adjusted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy(F.col("found.code").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum("base").alias("base"), F.sum("adjusted").alias("adjusted"))
 
 
+def language_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary language, all languages, whether mixed, and the unguarded estimate."""
+    rows = src.conversation_payloads(spark, sf_dir).withColumn("a", language.analyse(F.col("content"))).withColumn("found", language.detect_language(F.col("content")))
+    made = language.encode_estimate(evaluate.chars4(F.col("content")), F.col("found"))
+    rows = rows.withColumn("e", made)
+    return rows.select(
+        "payload_id", F.col("a.primary").alias("primary"), F.array_join("a.languages", ",").alias("languages"), F.round("a.multiplier", 6).alias("multiplier"),
+        F.col("a.is_mixed").alias("is_mixed"), F.col("e.tokens").alias("tokens"), F.col("e.base_tokens").alias("base_tokens"),
+    )
+
+
 def cache_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.text_payloads(spark, sf_dir)
     return rows.groupBy(cache_key(F.lit("tool"), F.col("content")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("payload_id").alias("first_id"))
@@ -208,6 +244,23 @@ def lru_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_cache.evict(_entries(spark, sf_dir), 100).select("key", "last_accessed", "access_count")
 
 
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that are set again start anew."""
+    new = _log(spark, sf_dir).filter("tool_name = 'click'").select("key", F.lit("set again").alias("value"))
+    out = result_cache.put(_entries(spark, sf_dir), new, 1_800_000_000_000, 3_600_000)
+    return out.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("access_count").alias("accesses"), F.max("expires_at").alias("expires_at"))
+
+
+def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that find a live entry."""
+    entries, log = _entries(spark, sf_dir), _log(spark, sf_dir)
+    now = entries.agg(F.max("created")).scalar()
+    asked = result_cache.probe(log.select("tool_name", "key"), entries, now)
+    there = result_cache.has(log.select("tool_name", "key"), entries, now).groupBy("tool_name").agg(F.count(F.lit(1)).alias("there"))
+    counted = asked.groupBy("tool_name").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return counted.join(there, "tool_name", "left").select("tool_name", "hits", "misses", F.coalesce("there", F.lit(0)).alias("there"))
+
+
 def ttl_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
     now = entries.agg(F.max("created")).scalar()
@@ -286,7 +339,7 @@ def response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [src.event_payloads(spark, sf_dir), src.text_payloads(spark, sf_dir), src.order_payloads(spark, sf_dir), src.order_payloads(spark, sf_dir, "csv")]
+    parts = [src.event_payloads(spark, sf_dir), src.text_payloads(spark, sf_dir), src.order_payloads(spark, sf_dir, "json", "csv")]
     parts += [src.log_payloads(spark, sf_dir), src.code_payloads(spark, sf_dir)]
     out = parts[0].select("payload_id", "tool_name", "content")
     for p in parts[1:]:
@@ -311,6 +364,30 @@ def optimize_memoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("payload_id", "format", "optimized", "original_tokens", "optimized_tokens")
 
 
+def optimize_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads from detection to the wrapped notation."""
+    done = optimize(src.order_payloads(spark, sf_dir), Config(tokenizer="chars4", min_savings=10.0))
+    return done.select(
+        "payload_id", "format", "optimized", "original_tokens", "optimized_tokens", "savings_tokens", F.array_join("layers", ",").alias("layers"),
+        F.sha2("optimized_content", 256).alias("digest"), "cached_savings",
+    )
+
+
+def hook_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hook's answers to JSON payloads."""
+    done = optimize(src.order_payloads(spark, sf_dir), Config(profile="hook"))
+    return done.select("payload_id", "optimized", F.sha2(hook_response(done), 256).alias("digest"))
+
+
+def optimize_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: all events' payloads over a cache that has seen those of two tools."""
+    rows, cfg = src.event_payloads(spark, sf_dir).select("payload_id", "tool_name", "content"), Config(tokenizer="chars4", min_savings=0.0)
+    none = spark.createDataFrame([], result_cache.ENTRY)
+    entries = optimize_cached(rows.filter("tool_name IN ('click', 'error')"), none, 1000, cfg)[1]
+    done = optimize_cached(rows, entries, 2000, cfg)[0]
+    return done.select("payload_id", "was_cached", "format", "optimized_content", "savings_tokens")
+
+
 def metrics_of_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = optimize(src.order_payloads(spark, sf_dir), Config(tokenizer="chars4"))
     facts = metrics.metrics_of(done, F.col("payload_id"), F.lit("2026-01-01T00:00:00"))
@@ -323,6 +400,7 @@ NAMES = (
     shorten_imports, summarise_imports, collapse_repetitive, strip_comments, toon_tabular, toon_nested, detect_language, mixed_multiplier,
     adjusted_tokens, cache_key_dedup, cache_hit_rate, cache_replay_ttl, cache_replay_lru, lru_top_k, ttl_expire, cache_stats, token_stats,
     token_stats_by_tool, dashboard_cost, dashboard_text, savings_stats_rollup, prompt_cache_wrap, prompt_cache_formats, language_profiles,
+    detect_code_type, cleanup_lines, drop_excerpts, csv_read, language_analysis, cache_put, cache_probe, optimize_orders, hook_orders, optimize_cache_hits,
     response_envelope, optimize_pipeline, optimize_hook, optimize_memoised, metrics_of_pipeline,
 )
 
