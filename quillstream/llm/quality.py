@@ -63,6 +63,7 @@ def character_classes() -> np.ndarray:
 
 
 def shape(word: str) -> str:
+    """A word's runs of letters and digits as A, a or 0; its start tells words apart well enough."""
     for pattern, mark in SHAPES:
         word = pattern.sub(mark, word)
     return word[:12]
@@ -75,7 +76,9 @@ class Hasher(dict):
     def __missing__(self, word: str) -> int:
         low = word.lower().strip(".,;:!?")
         bucket = zlib.crc32(shape(word).encode()) % SHAPE_BUCKETS
-        found = self[word] = (zlib.crc32(low.encode()) << 19) | (bucket << 9) | (min(len(word), 255) << 1) | word.isupper()
+        found = (zlib.crc32(low.encode()) << 19) | (bucket << 9) | (min(len(word), 255) << 1) | word.isupper()
+        if len(word) <= 64 and len(self) <= REMEMBERED:
+            self[word] = found
         return found
 
 

@@ -26,8 +26,8 @@ from .common import documents, map_arrow
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: Words remembered by a worker; the table is emptied when it is full.
-REMEMBERED = 300_000
+#: Words remembered by a worker, and their length at most; the table is emptied when it is full.
+REMEMBERED, SHORT = 300_000, 64
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -69,7 +69,9 @@ class WordCounter(dict):
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.merged(word.encode(errors="surrogateescape"))
+        n = self.merged(word.encode(errors="surrogateescape"))
+        if len(word) <= SHORT and len(self) <= REMEMBERED:
+            self[word] = n
         return n
 
     def merged(self, data: bytes) -> int:
