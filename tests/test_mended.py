@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstream.config import CacheConfig, Config
 from quillstream.functions import text as tx
-from quillstream.operators import code, debug, evaluate, result_cache, structured
+from quillstream.functions.text import js
+from quillstream.operators import code, debug, evaluate, language, result_cache, structured
 from quillstream.operators.compact import memoise, optimize, optimize_cached, register, routes
 from quillstream.sources import payloads as src
 from quillstream.streaming import jobs
@@ -127,3 +128,17 @@ def test_payloads_grow_in_number_not_in_size(spark):
     for make in (src.log_payloads, src.code_payloads):
         (small, few), (large, many) = (longest(make(spark, f"/root/testdata/sf{s}")) for s in ("0.001", "0.01"))
         assert large <= 1.5 * small and many > 5 * few
+
+
+def test_quick_patterns_count_alike(spark):
+    """The look ahead changes no count and no case-insensitive find."""
+    patterns = [p for profile in language.PROFILES for p in profile[5]]
+    words = " ".join(w for p in patterns if p.startswith("\\b") for w in p[3:-3].split("|"))
+    marks = "".join(p[1:-1] for p in patterns if p.startswith("["))
+    texts = [words, words.upper(), words.replace(" ", "_"), words.replace(" ", "à"), words.title() + "ſKıİ", marks, marks.upper(), "plain", ""]
+    s = F.col("s")
+    same = [F.regexp_count(s, F.lit(js(p))) == F.regexp_count(s, F.lit(language.quick(p))) for p in patterns]
+    same += [s.rlike("(?iu)" + js(p)) == s.rlike("(?iu)" + language.quick(p)) for p in patterns]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(F.array(*same).alias("same")).collect()
+    assert all(all(r["same"]) for r in rows)
+    assert sum(language.quick(p) != js(p) for p in patterns) >= 10
