@@ -4,8 +4,9 @@ Every document contributes the distinct 128-bit hashes of its long lines. The
 hashes arrive in batches. A batch is aggregated, merge-joined with the sorted
 runs of the earlier batches, and split: keys that no run holds (the anti-join)
 become the batch's own sorted run, keys already held become increments. When a
-level has collected `fanout` runs they are compacted into one run of the next
-level, so that a key is rewritten once a level. Keys are unique across runs.
+level has collected `fanout` runs they are merged into one run of the next
+level, so that a key is rewritten once a level. Keys are unique across runs,
+and all runs are bucketed alike, so that none is shuffled or sorted again.
 A key's document count and largest document are its run row plus its
 increments; lines of keys with enough documents are then dropped everywhere
 but in the largest document that holds them.
@@ -13,7 +14,10 @@ but in the largest document that holds them.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import string
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,72 +47,103 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+#: Spark refuses tables of more buckets.
+MOST_BUCKETS = 100_000
+
+
+@contextlib.contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Lets merge joins rely on the order inside a run's buckets (one file each) instead of sorting them again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class LevelledRuns:
-    """Sorted runs (h, n, top) in the shared folder, by level; h is unique over all runs."""
+    """Sorted runs (h, n, top) by level; h is unique over all runs.
+
+    A run is a table in the shared folder, bucketed and sorted by h, one file a
+    bucket, so that batches are merged with it where it lies: only the batch's
+    own aggregated keys are shuffled. A batch's table holds its run (held = 0)
+    and its increments of keys that earlier runs hold (held = 1). close()
+    removes the tables from the catalog."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.root = spark, fanout, fresh_path(spark, "line-runs")
+        self.buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = [[]]
-        self.increments: list[str] = []
-        self.serial = 0
+        self.batches: list[str] = []
+        self.tables: list[str] = []
 
-    def _next(self) -> str:
-        self.serial += 1
-        return f"{self.root}/{self.serial}"
+    def _write(self, rows: DataFrame) -> str:
+        name = f"line_runs_{self.root[-12:]}_{len(self.tables)}"
+        out = rows.select("h", "n", "top", "held").write.partitionBy("held").bucketBy(self.buckets, "h").sortBy("h")
+        self.tables.append(name)
+        with ordered_scans(self.spark):
+            out.option("path", f"{self.root}/{len(self.tables)}").saveAsTable(name, format="parquet")
+        return name
 
-    def _read(self, paths: list[str]) -> DataFrame | None:
-        schema = "h binary, n long, top long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+    def _read(self, name: str, held: int = 0) -> DataFrame:
+        return self.spark.table(name).filter(F.col("held") == held).select("h", "n", "top")
 
-    def runs(self) -> DataFrame | None:
-        return self._read([p for level in self.levels for p in level])
+    def _union(self, parts: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "h binary, n long, top long")
+
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def runs(self) -> DataFrame:
+        return self._union([self._read(name) for name in self._names()])
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Adds a batch of rows (h, doc_id), one for each key and document;
         returns the batch's new keys, which no earlier batch had."""
         batch = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
-        held = self.runs()
-        path = self._next()
-        if held is None:
-            batch.sortWithinPartitions("h").write.parquet(f"{path}/held=0")
-        else:
-            seen = held.select("h", F.lit(1).alias("held"))
-            split = batch.hint("merge").join(seen, "h", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-            split.sortWithinPartitions("held", "h").write.partitionBy("held").parquet(path)
-        parts = {f"{path}/held={k}": k for k in (0, 1)}
-        for where, k in parts.items():
-            if self._exists(where):
-                (self.increments if k else self.levels[0]).append(where)
-        new = self._read([where for where, k in parts.items() if not k and self._exists(where)])
+        flags = []
+        for k, name in enumerate(self._names()):
+            batch = batch.join(self._read(name).select("h", F.lit(1).alias(f"_in{k}")).hint("merge"), "h", "left")
+            flags.append(F.col(f"_in{k}"))
+        name = self._write(batch.withColumn("held", F.coalesce(*flags, F.lit(0))))
+        self.levels[0].append(name)
+        self.batches.append(name)
         self._compact()
-        return new if new is not None else batch.limit(0)
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return self._read(name)
 
     def _compact(self) -> None:
+        """Merges a level's runs, once there are `fanout`, into one run of the next level."""
         k = 0
         while k < len(self.levels):
             if len(self.levels[k]) >= self.fanout:
-                merged = self._next()
-                n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-                self._read(self.levels[k]).repartition(n, "h").sortWithinPartitions("h").write.parquet(merged)
+                first, *others = (self._read(name) for name in self.levels[k])
+                for other in others:  # both sides lie in order, bucket by bucket
+                    other = other.select("h", F.col("n").alias("_n"), F.col("top").alias("_top")).hint("merge")
+                    first = first.join(other, "h", "full").select("h", F.coalesce("n", "_n").alias("n"), F.coalesce("top", "_top").alias("top"))
                 if k + 1 == len(self.levels):
                     self.levels.append([])
+                self.levels[k + 1].append(self._write(first.withColumn("held", F.lit(0))))
                 self.levels[k] = []
-                self.levels[k + 1].append(merged)
             k += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys held by at least min_docs documents, with the largest of them."""
-        parts = [x for x in (self.runs(), self._read(self.increments)) if x is not None]
-        if not parts:
-            return self.spark.createDataFrame([], "h binary, top long")
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        total = rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-        return total.filter(F.col("n") >= min_docs).select("h", "top")
+        """Keys held by at least min_docs documents, with the largest of them.
+
+        Increments are few, as only keys that come again have them; they go to the runs, which stay where they are."""
+        more = self._union([self._read(name, 1) for name in self.batches])
+        more = more.groupBy("h").agg(F.sum("n").alias("_n"), F.max("top").alias("_top"))
+        parts = []
+        for name in self._names():
+            both = self._read(name).join(more.hint("merge"), "h", "left")
+            total = both.select("h", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("top", "_top").alias("top"))
+            parts.append(total.filter(F.col("n") >= min_docs))
+        return self._union(parts).select("h", "top")
+
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_repeated_lines(
@@ -137,7 +172,9 @@ def drop_repeated_lines(
     for k in range(batches):
         runs.add(lines.filter(F.col("batch") == k))
     # written, so that the join deals both sides itself and can split a hot line's rows
-    frequent = materialise(runs.frequent(min_docs), "frequent-lines")
+    with ordered_scans(spark):
+        frequent = materialise(runs.frequent(min_docs), "frequent-lines")
+    runs.close()
     lost = (
         lines.select("doc_id", "h").join(frequent, "h").filter(F.col("doc_id") != F.col("top"))
         .groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("h").alias("_lost"))
