@@ -12,6 +12,9 @@ same filling of the document. A question with other numbers or names is thus
 caught as well as a plain copy. Windows that hold placeholders are also hashed
 by their plain words, so that a verbatim copy is found whatever its words are:
 where the windows without any change alone are enough, nothing else counts.
+An item meets a document only through its anchors, the positions whose windows
+the fewest items share, so many that no diagonal with enough windows is without
+one: a stem of many questions, too short to count by itself, costs nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, materialise, table
@@ -154,7 +157,10 @@ def _slots(tokens: list[str], kinds: np.ndarray, start: int, size: int) -> list[
     return [tokens[start + k].strip(EDGE).lower() for k in range(size) if kinds[start + k]]
 
 
-BENCH = "item_id long, pos int, size int, total int, whole int, plain boolean, hash long, slots array<string>"
+#: Positions of a document that are joined with a candidate diagonal at once.
+BLOCK = 64
+
+BENCH = "item_id long, version long, pos int, size int, total int, whole int, plain boolean, hash long, slots array<string>"
 DOCS = "doc_id long, row long, pos int, hash long, slots array<string>"
 
 
@@ -173,7 +179,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LI
                     continue
                 at, found = windows(hashes, kinds, size, min(literals, size))
                 total, whole = len(at), len(tokens) - size + 1
-                add = lambda p, h, plain, slots: rows.append((item, int(p), size, total, whole, plain, int(np.uint64(h).view(np.int64)), slots))  # noqa: B023, E731
+                version = xxhash.xxh64_intdigest(text.encode()) >> 1  # texts that share an item_id stay apart
+                add = lambda p, h, plain, slots: rows.append((item, version, int(p), size, total, whole, plain, int(np.uint64(h).view(np.int64)), slots))  # noqa: B023, E731
                 for p, h in zip(at, found):
                     add(p, h, False, _slots(tokens, kinds, p, size))
                 if total and at[0] == 0 and not kinds[0] and words.kinds[words[tokens[0]]] == NAMED:
@@ -184,10 +191,9 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LI
                 for p, h in zip(*plain_windows(plain, kinds, size)):
                     add(p, h, True, [])
             if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["item_id", "pos", "size", "total", "whole", "plain", "hash", "slots"]
-                )
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
+                names = ["item_id", "version", "pos", "size", "total", "whole", "plain", "hash", "slots"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return map_arrow(items.select("item_id", "text"), run, BENCH)
 
@@ -204,6 +210,39 @@ def _bit_map(bench: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def needed(hits: int) -> Column:
+    """Positions that any diagonal must match at least to count for an item."""
+    return F.least(F.lit(hits), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("whole")))
+
+
+def anchors(item: DataFrame, hits: int) -> DataFrame:
+    """Windows (item_id, version, whole, item_pos, hash) at each item's anchors.
+
+    A diagonal that counts matches `needed` positions, so it misses at most the
+    needed - 1 whose windows are shared by the most items."""
+    shared = item.groupBy("hash").agg(F.count_distinct("item_id", "version").alias("items"))
+    place = item.join(shared, "hash").groupBy("item_id", "version", "total", "whole", "item_pos").agg(
+        F.max("items").alias("items"), F.collect_set("hash").alias("hash")
+    )
+    rank = F.row_number().over(Window.partitionBy("item_id", "version").orderBy("items", "item_pos"))
+    place = place.withColumn("rank", rank).filter(F.col("rank") <= F.col("whole") - needed(hits) + 1)
+    return place.select("item_id", "version", "whole", "item_pos", F.explode("hash").alias("hash"))
+
+
+def _pairs(near: DataFrame, item: DataFrame, hits: int) -> DataFrame:
+    """All matching windows on the diagonals on which an anchor of the item matches."""
+    met = near.join(anchors(item, hits), "hash").select(
+        "doc_id", "row", "item_id", "version", "whole", (F.col("pos") - F.col("item_pos")).alias("diagonal")
+    ).distinct()
+    block = lambda at: F.floor(at / BLOCK)
+    span = F.sequence(block(F.col("diagonal")), block(F.col("diagonal") + F.col("whole") - 1))
+    met = met.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "item_id", "version", "diagonal", F.explode(span).alias("_block"))
+    held = near.withColumn("block", block(F.col("pos")))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")) & (F.col("block") == F.col("_block"))
+    lined = held.join(met, same).withColumn("item_pos", F.col("pos") - F.col("diagonal"))
+    return lined.join(item, ["item_id", "version", "item_pos", "hash"])
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: int = LITERALS, hits: int = HITS, bits: int = MAP_BITS
 ) -> DataFrame:
@@ -214,7 +253,8 @@ def find_leaks(
     read. n_windows is the longest diagonal's number of matched windows, and
     `reworded` tells that numbers, units or names were replaced. Null and
     empty texts match nothing; rows without item_id are left out; repeated
-    rows of a document count once; repeated items are found each. Rows without
+    rows of a document count once; repeated items are found each, and texts that share
+    an item_id are items of their own, of which the row tells the best. Rows without
     a doc_id are reported with a null doc_id. Empty tables give an empty result.
     """
     bench = materialise(benchmark_windows(items.filter("item_id IS NOT NULL"), window, literals), "benchmark-windows")
@@ -249,10 +289,10 @@ def find_leaks(
 
     # written: the pass over the texts runs once, and the join below sees the true size
     near = materialise(map_arrow(docs.select("doc_id", "text"), run, DOCS), "document-windows")
-    item = bench.select("item_id", "total", "whole", "plain", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    pairs = near.join(item, "hash")
+    item = bench.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}).drop("size").distinct()
+    pairs = _pairs(near, item, hits)
     met = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
-    diagonal = pairs.groupBy("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    diagonal = pairs.groupBy("doc_id", "row", "item_id", "version", "diagonal").agg(
         F.collect_set(F.struct("item_pos", "plain", (F.col("item_slots") == F.col("slots")).alias("same"))).alias("at"),
         F.first("total").alias("total"), F.first("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met"),
     )
