@@ -4,9 +4,11 @@ map helpers and the hold-out rule."""
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+#: Tables written since the innermost settle() began.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return base.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    # kept here, as Spark lets no running session set spark.checkpoint.dir
+    return "file://" + tempfile.mkdtemp(prefix="quillstream-")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
+    held = _passing.get()
+    _written.append((spark, path)) if held is None else held.append(path)
     return path
 
 
@@ -55,13 +65,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result as materialise() gives it; the tables that make() wrote on
+    its way are deleted as soon as the result is written, or make() has failed."""
+    path = fresh_path(spark, name)
+    outer = _passing.set([])
+    try:
+        made = make()
+        made.write.parquet(path)
+    finally:
+        for old in _passing.get():
+            _delete(spark, old)
+        _passing.reset(outer)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _tidy() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder belongs to the cluster
             return
 

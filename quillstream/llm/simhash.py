@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialise
+from .common import documents, map_arrow, materialise, settle
 
 BITS = 64
 DISTANCE = 4
@@ -285,9 +285,21 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has an edge.
 
     Alternating large-star and small-star steps; each round is written to the
-    shared folder and ends the loop when it changes nothing.
+    shared folder, where its own steps are deleted again, and ends the loop when
+    it changes nothing.
     """
+    spark = edges.sparkSession
     oriented = lambda e, a, b: e.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
+
+    def step(now: DataFrame) -> DataFrame:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(oriented(large, "a", "b"), "large-star")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return oriented(small.unionByName(least.select("a", F.col("m").alias("b"))), "a", "b")
+
     now = materialise(oriented(edges, "a", "b"), "edges")
     seen = None
     while True:
@@ -295,14 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not mark[0] or mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(oriented(large, "a", "b"), "large-star")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b")))
-        now = materialise(oriented(small, "a", "b"), "small-star")
+        now = settle(spark, lambda now=now: step(now), "small-star")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, bucket: int = BUCKET, piece: int = PIECE) -> DataFrame:
