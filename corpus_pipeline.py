@@ -10,10 +10,12 @@ give an empty result for an empty table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import documents, materialise, table
+from quillstream.llm.common import documents, materialise, settle, table
 from quillstream.llm.decontaminate import find_leaks
 from quillstream.llm.line_dedup import drop_repeated_lines
 from quillstream.llm.near_copies import near_copies
@@ -91,8 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`, each to all that the one before kept."""
+    """Applies the stages to `documents`, each to all that the one before kept.
+
+    A stage's result is written to the shared folder and read back; the tables
+    of its operator are deleted then, so that one stage's at most lie there."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle(spark, functools.partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return docs
